@@ -203,7 +203,7 @@ def put(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, tokens_per_shard: int = 1 << 21) -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, tokens_per_shard: int = 1 << 20) -> DataFrame:
     """Encode whole texts in ascending doc_id order into shard files below out (a path that executors share).
 
     Returns the staged manifest: shard (path), part and k (the shards' order), docs, tokens. A null text is empty and leaves

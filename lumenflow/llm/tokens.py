@@ -49,7 +49,7 @@ class _Pretokens(dict):
 class PieceCache(dict):
     """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); emptied when it holds limit words."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_800_000):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
