@@ -167,9 +167,9 @@ WITH d AS (
   FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
 {"".join(_level(depth) for depth in (1, 2, 3))}
-l AS (SELECT domain, lang, source, b // tokens AS full, b % tokens AS rest FROM leaves JOIN g3 USING (domain, lang, source) WHERE tokens > 0),
-k AS (SELECT d.*, l.full, l.rest, md5('7:' || l.full || ':' || doc_id) AS key FROM d JOIN l USING (domain, lang, source)),
+l AS (SELECT domain, lang, source, b // tokens AS whole, b % tokens AS rest FROM leaves JOIN g3 USING (domain, lang, source) WHERE tokens > 0),
+k AS (SELECT d.*, l.whole, l.rest, md5('7:' || l.whole || ':' || doc_id) AS key FROM d JOIN l USING (domain, lang, source)),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) - tokens AS before FROM k)
-SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(full AS BIGINT) AS full_epochs, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS prefix_tokens
-FROM c WHERE tokens > 0 AND (full > 0 OR least(tokens, rest - before) > 0)
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole AS BIGINT) AS full_epochs, CAST(greatest(0, least(tokens, rest - before)) AS BIGINT) AS prefix_tokens
+FROM c WHERE tokens > 0 AND (whole > 0 OR least(tokens, rest - before) > 0)
 """

@@ -62,7 +62,9 @@ def _words() -> Column:
     tidy = lambda s: f"translate({s}, '\\n\\t\\r', '   ')"
     left = f"if(trim({tidy('m.g')}) = '', if(i = 0, '^', '#'), lower(right(substring_index(rtrim({tidy('m.g')}), ' ', -1), 40)))"
     right = f"if(trim({tidy('m.n')}) = '', '$', lower(left(substring_index(ltrim({tidy('m.n')}), ' ', 1), 40)))"
-    return F.expr(f"""if(text rlike '[0-9]', transform(filter(arrays_zip(split(text, '{w}', -1) as g, regexp_extract_all(text, '{w}', 0) as f, slice(split(text, '{w}', -1), 2, 2147483647) as n), m -> m.f is not null),
+    gaps, found = f"split(text, '{w}', -1)", f"regexp_extract_all(text, '{w}', 0)"
+    joined = f"zip_with(zip_with({gaps}, {found}, (g, f) -> named_struct('g', g, 'f', f)), slice({gaps}, 2, 2147483647), (m, n) -> named_struct('g', m.g, 'f', m.f, 'n', n))"
+    return F.expr(f"""if(text rlike '[0-9]', transform(filter({joined}, m -> m.f is not null),
         (m, i) -> named_struct('v', if(length(m.f) > 200, sha2(m.f, 256), regexp_replace(m.f, '[.,;:!?)]+$', '')), 'l', {left}, 'r', {right}, 'g', length(m.g), 'f', length(m.f), 'ok', true)), null)""")
 
 
@@ -117,8 +119,12 @@ def find_private_data(docs: DataFrame, rounds: int = 3, sure: float = 0.6, suppo
     rows = base.select("rid", "doc_id", *KINDS).join(more, "rid", "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
 
+    def of_kind(n: int, kind: str) -> Column:
+        tag = lambda x: F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string"))
+        return F.transform(F.coalesce(F.col(kind), none), lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), tag(x).alias("t")))
+
     def tagged(kinds: tuple[str, ...]) -> Column:
-        each = [F.transform(F.coalesce(F.col(k), none), lambda x, n=n, k=k: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")).alias("t"))) for n, k in enumerate(kinds)]
-        return F.array_join(F.transform(F.array_sort(F.concat(*each)), lambda x: x["t"]), ",")
+        every = F.array_sort(F.concat(*[of_kind(n, k) for n, k in enumerate(kinds)]))
+        return F.array_join(F.transform(every, lambda x: x["t"]), ",")
 
     return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(tagged(KINDS).cast("binary"), 256).alias("base_sha256"), tagged((*KINDS, "id")).alias("spans"), F.size(F.coalesce("id", none)).cast("long").alias("n_id"))
