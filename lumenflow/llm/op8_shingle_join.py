@@ -3,7 +3,8 @@
 Tokens (hashed word n-grams) are ordered globally from rare to common by a fixed-size count sketch of the whole corpus. Two
 sets whose similarity reaches the threshold share at least m tokens of their prefixes when each keeps its
 size - ceil(threshold * size) + m first tokens. Each document picks its own m: a longer prefix costs more postings but
-lets candidates through only with m shared tokens, and the sketch estimates both. A pair needs the smaller of its two m.
+lets candidates through only with m shared tokens, and the sketch estimates both. A pair needs the smaller of its two m, and
+enough shared tokens that with all tokens behind the prefixes it could still reach the threshold.
 
 Large families of near copies are merged before all candidates are listed: rounds pair each document with a few random
 neighbours in its postings, verify these and merge components, until the pairs left between different components are
@@ -29,7 +30,7 @@ BROADCAST_IDS = 2_000_000
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 60:
@@ -66,7 +67,7 @@ def _digest(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document (doc_id, n, d1, d2: its set's digest) and, per task, the chunks of its count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "d1", "d2", "chunk", "counts"]
         for batch in batches:
             out, held, waiting = [], [], 0
@@ -77,15 +78,15 @@ def _digest(docs: DataFrame, k: int) -> DataFrame:
                 held.append(s >> np.uint64(64 - SKETCH_BITS))
                 waiting += len(s)
                 if waiting > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
                     held, waiting = [], 0
             if held:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
         if counts.any():
-            parts = [np.minimum(c, 2**31 - 1).astype("<i4").tobytes() for c in np.split(counts, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64())] * 4 + [pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            for c, part in enumerate(np.split(counts, CHUNKS)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([c], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=names)
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary")
 
@@ -187,6 +188,21 @@ def _alike(percent: int, x: str = "na", y: str = "nb") -> str:
     return f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})"
 
 
+def _reachable(percent: int) -> str:
+    """SQL: whether a pair that shares so many prefix tokens can reach the threshold.
+
+    The prefix that ends earlier in the global order leaves out its set's other tokens and no more, so at most these are shared besides.
+    """
+    return f"shared >= least(ma, mb) and {100 + percent}L * (shared + greatest(na - pa, nb - pb)) >= {percent}L * (na + nb)"
+
+
+def _hopeful(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough tokens."""
+    side = lambda x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.size("tokens").alias(f"p{x}"), F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return both.where(_reachable(percent)).select("a", "b").distinct()
+
+
 def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return posts.withColumn("label", F.col("id"))
@@ -196,10 +212,10 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 8) -> DataFrame:
     """Pairs of postings that stand next to each other in a random order of a token's list, the likeliest few a document.
 
-    Long lists are dealt out in chunks of about 4,096 by document, so a very common token doesn't meet in one task.
+    Long lists are dealt out in chunks of about 256 by document, so a very common token doesn't meet in one task.
     """
     near = Window.partitionBy("tok", "part").orderBy(F.xxhash64("id", "tok", F.lit(seed)), "id")
-    cut = posts.where("df > 4").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.greatest(F.lit(1), F.col("df") / 4096).cast("int")))
+    cut = posts.where("df > 4").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.greatest(F.lit(1), F.col("df") / 256).cast("int")))
     pairs = None
     for gap in (1, 2):
         x = cut.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.lead("id", gap).over(near).alias("y"), F.lead("n", gap).over(near).alias("ny"), F.lead("label", gap).over(near).alias("ly"))
@@ -214,29 +230,31 @@ def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 8) ->
 def join_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int = 6) -> DataFrame | None:
     """id, component for all ids of classes (id: one document for each distinct set) that link with another; null if none do."""
     spark = docs.sparkSession
-    prefixes = _prefixes(docs, k, percent, longest, counts).join(classes, "id", "left_semi")
-    posts = prefixes.select("id", "n", "m", F.explode("tokens").alias("tok"))
+    prefixes = stage(_prefixes(docs, k, percent, longest, counts).join(classes, "id", "left_semi"), "prefixes")
+    posts = prefixes.select("id", "n", "m", F.size("tokens").alias("p"), F.explode("tokens").alias("tok"))
     posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1")
     posts = stage(posts, "postings")
     rows, edges, labels = posts.count(), None, None
     for seed in range(8):
         named = _labelled(posts, labels)
         left = named.groupBy("tok", "label").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        if (left.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0) <= 2 * rows + 1000:
+        if (left.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0) <= 8 * rows + 1000:
             break
-        pairs = stage(_neighbours(named, percent, 2 * seed), "neighbours")
+        near = stage(_neighbours(named, percent, 2 * seed), "neighbours")
+        pairs = stage(_hopeful(near, prefixes, percent), "candidates")
+        discard(near)
         edges = _add_verified(edges, docs, pairs, k, percent)
         if not is_empty(edges):
             old, labels = labels, components(edges)
             discard(old)
     named = stage(_labelled(posts, labels), "labelled")
-    a = named.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("label").alias("la"))
-    b = named.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("label").alias("lb"))
+    a = named.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("p").alias("pa"), F.col("label").alias("la"))
+    b = named.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
     cross = a.join(b, "tok").where("a < b and la <> lb").where(_alike(percent))
-    cross = cross.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ma", "mb")).alias("need")).where("shared >= need")
-    pairs = stage(cross.select("a", "b"), "candidates")
+    cross = cross.groupBy("a", "b", "na", "nb", "ma", "mb", "pa", "pb").agg(F.count("*").alias("shared")).where(_reachable(percent))
+    pairs = stage(cross.select("a", "b").distinct(), "candidates")
     edges = _add_verified(edges, docs, pairs, k, percent)
-    discard(named, posts, labels)
+    discard(named, posts, prefixes, labels)
     out = None if is_empty(edges) else components(edges)
     discard(edges)
     return out
