@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataF
     text = F.col("text").cast("string")
     rows = docs.drop(*new).withColumn("__th", F.xxhash64(text))
     g = drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "gone").withColumnRenamed("gone", "__gone")
-    rows = rows.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
+    # Merged at every size: what is broadcast would grow with the documents that lose lines.
+    rows = rows.join(g.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
     rows = rows.withColumn("__cut", cut(text, F.col("__gone")))
     others = [c for c in docs.columns if c not in new]
     return rows.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others], *[F.col(f"__cut.{c}") for c in new])
