@@ -78,7 +78,7 @@ def _layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return first, parts, int(block + 1)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.5, least: int = 2_000, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65, least: int = 2_000, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id divisible by every), by inner product.
 
     A query takes cells until they hold max(least, share of all rows) entries; there is no other bound on candidates, so
