@@ -146,5 +146,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, d
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    out = encoded.select("rid", "doc_id", "ids", "n", "width").join(placed, "rid").select("doc_id", "ids", "n", "width", "position")
+    # Merged at every size: what is broadcast would grow with the documents.
+    out = encoded.select("rid", "doc_id", "ids", "n", "width").join(placed.hint("merge"), "rid").select("doc_id", "ids", "n", "width", "position")
     return out.mapInArrow(cut, PIECES)
