@@ -4,6 +4,7 @@ import decimal
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lumenflow.plans import layers, registry
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and math.isnan(value):
         return "null"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
