@@ -8,7 +8,8 @@ enough shared tokens that with all tokens behind the prefixes it could still rea
 
 Large families of near copies are merged before all candidates are listed: rounds pair each document with a few random
 neighbours in its postings, verify these and merge components, until the pairs left between different components are
-no more than a few for each posting. Only those are then listed, all of them, so no link between components is missed.
+a few for each posting or hardly get fewer. Only those are then joined, all that a signature of the prefixes (a bit for each
+token) lets reach the threshold, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from lumenflow.llm.common import components, discard, is_empty, stage
 
 SKETCH_BITS, CHUNKS = 22, 64
+#: Longs of a prefix's signature, which bounds how many tokens two prefixes share before any are compared.
+SIGNATURE = 8
 #: Up to so many document ids are sent to all executors as an array (16 MB); beyond, a shuffle picks their rows.
 BROADCAST_IDS = 2_000_000
 
@@ -134,6 +137,13 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int, longes
     return m, s[order[: base + m]]
 
 
+def signature(p: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bit for each token's hash, in longs, and how many tokens share a bit with another of the prefix."""
+    bits = np.zeros(64 * SIGNATURE, bool)
+    bits[((p * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(64 * SIGNATURE)] = True
+    return np.packbits(bits, bitorder="little").view("<i8"), len(p) - int(bits.sum())
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, longest: int, counts: np.ndarray) -> DataFrame:
     noise = float(counts.sum(dtype=np.int64)) / len(counts)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
@@ -141,15 +151,17 @@ def _prefixes(docs: DataFrame, k: int, percent: int, longest: int, counts: np.nd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            ids, sizes, ms, tokens = [], [], [], []
+            ids, sizes, ms, tokens, sigs, lost = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), k)
                 if doc_id is not None and len(s):
                     m, p = prefix(s, table, noise, percent, longest)
-                    ids.append(doc_id), sizes.append(len(s)), ms.append(m), tokens.append(p.view(np.int64))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "m": pa.array(ms, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+                    sig, hidden = signature(p)
+                    ids.append(doc_id), sizes.append(len(s)), ms.append(m), tokens.append(p.view(np.int64)), sigs.append(sig), lost.append(hidden)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "m": pa.array(ms, pa.int32()), "tokens": pa.array(tokens, longs), "sig": pa.array(sigs, longs), "hidden": pa.array(lost, pa.int32())})
 
-    return _texts(docs).mapInArrow(run, "id long, n int, m int, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "id long, n int, m int, tokens array<long>, sig array<long>, hidden int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -229,28 +241,30 @@ def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 8) ->
 
 def join_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int = 6) -> DataFrame | None:
     """id, component for all ids of classes (id: one document for each distinct set) that link with another; null if none do."""
-    spark = docs.sparkSession
     prefixes = stage(_prefixes(docs, k, percent, longest, counts).join(classes, "id", "left_semi"), "prefixes")
     posts = prefixes.select("id", "n", "m", F.size("tokens").alias("p"), F.explode("tokens").alias("tok"))
-    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1")
-    posts = stage(posts, "postings")
-    rows, edges, labels = posts.count(), None, None
-    for seed in range(8):
-        named = _labelled(posts, labels)
+    posts = stage(posts.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1"), "postings")
+    rows, edges, labels, named, before = posts.count(), None, None, stage(_labelled(posts, None), "labelled"), None
+    for seed in range(4):
         left = named.groupBy("tok", "label").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        if (left.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0) <= 8 * rows + 1000:
+        cross = left.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
+        if cross <= 8 * rows + 1000 or before is not None and cross > 0.7 * before:
             break
+        before = cross
         near = stage(_neighbours(named, percent, 2 * seed), "neighbours")
         pairs = stage(_hopeful(near, prefixes, percent), "candidates")
         discard(near)
         edges = _add_verified(edges, docs, pairs, k, percent)
-        if not is_empty(edges):
-            old, labels = labels, components(edges)
-            discard(old)
-    named = stage(_labelled(posts, labels), "labelled")
-    a = named.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("p").alias("pa"), F.col("label").alias("la"))
-    b = named.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
-    cross = a.join(b, "tok").where("a < b and la <> lb").where(_alike(percent))
+        if is_empty(edges):
+            break
+        old, labels = labels, components(edges)
+        discard(old, named)
+        named = stage(_labelled(posts, labels), "labelled")
+    side = lambda x: named.join(prefixes.select("id", "n", "sig", "hidden"), ["id", "n"]).select("tok", *[F.col(c).alias(c[0] + x if c != "sig" else "sig" + x) for c in ("id", "n", "m", "p", "label", "hidden", "sig")])
+    a, b = side("a").withColumnRenamed("ia", "a"), side("b").withColumnRenamed("ib", "b")
+    common = " + ".join(f"bit_count(siga[{i}] & sigb[{i}])" for i in range(SIGNATURE))
+    most = f"(least(ha, hb) + {common})"
+    cross = a.join(b, "tok").where("a < b and la <> lb").where(_alike(percent)).where(_reachable(percent).replace("shared", most))
     cross = cross.groupBy("a", "b", "na", "nb", "ma", "mb", "pa", "pb").agg(F.count("*").alias("shared")).where(_reachable(percent))
     pairs = stage(cross.select("a", "b").distinct(), "candidates")
     edges = _add_verified(edges, docs, pairs, k, percent)
