@@ -12,9 +12,9 @@ from lumenflow.functions.sampling import bernoulli, categorical, choice, inject_
 from lumenflow.schemas import TABLES
 
 # The platform's domains and weights.
-COUNTRIES = ("US", "GB", "CA", "DE", "FR", "IN", "BR", "JP", "AU", "ES")
+COUNTRIES = ("US", "GB", "CA", "AU", "DE", "FR", "IN", "JP", "BR", "VN")
 TIERS = ("free", "basic", "premium", "family")
-GENRES = ("Action", "Comedy", "Drama", "Thriller", "Romance", "Documentary", "Animation", "Horror", "Sci-Fi", "Music")
+GENRES = ("Action", "Drama", "Comedy", "Documentary", "Thriller", "Romance", "Sci-Fi", "Animation", "Sports", "Kids")
 INTERACTIONS = {"like": 0.62, "dislike": 0.08, "comment": 0.18, "share": 0.12}
 
 

@@ -11,7 +11,7 @@ from lumenflow.functions.sampling import bernoulli, choice, late_timestamp, unif
 from lumenflow.schemas import EVENT
 
 # The stream's domains.
-DEVICES, PLATFORMS = ("mobile", "tv", "web", "tablet"), ("ios", "android", "web", "smart_tv")
+DEVICES = PLATFORMS = ("smart_tv", "web", "mobile_app")
 
 
 @dataclass(frozen=True)
