@@ -228,3 +228,14 @@ def test_traversal_takes_pairs_in_order():
     taken = op7_multi_index.traverse(d1, d2, np.ones((9, 9), int), 30)
     sums = d1[:, None] + d2
     assert taken.sum() == 30 and sums[taken].max() <= sums[~taken].min()
+
+
+def test_signatures_bound_shared_tokens():
+    rng = np.random.default_rng(3)
+    for size in (5, 40, 400, 3000):
+        pool = rng.integers(0, 2**63, 2 * size).astype(np.uint64)
+        a, b = rng.choice(pool, size, replace=False), rng.choice(pool, size, replace=False)
+        (x, hidden_a), (y, hidden_b) = op8_shingle_join.signature(a), op8_shingle_join.signature(b)
+        common = int(np.unpackbits((x & y).view("u1")).sum())
+        assert len(np.intersect1d(a, b)) <= common + min(hidden_a, hidden_b)
+        assert common <= 64 * op8_shingle_join.SIGNATURE and hidden_a < size
