@@ -221,7 +221,7 @@ def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     return posts.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
-def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 8) -> DataFrame:
+def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 4) -> DataFrame:
     """Pairs of postings that stand next to each other in a random order of a token's list, the likeliest few a document.
 
     Long lists are dealt out in chunks of about 256 by document, so a very common token doesn't meet in one task.
