@@ -1,8 +1,12 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so an inserted line moves only the
-chunks around it. Chunks of several lines that stand elsewhere too, byte for byte, are removed; the first one
-stays. A line of long_line words or more makes a chunk of its own and counts as several lines: it is a passage.
+A passage is a run of lines of which two or more aren't blank, or a line of long_line words or more. Every line of a passage
+that stands at an earlier place too, byte for byte, is removed (dedup_runs); the first one stays. The windows of two
+neighbouring lines that aren't blank are the anchors: a run repeats if and only if its windows do, so those that
+stand earlier cover the maximal runs, wherever they begin and end. Short single lines stay.
+
+dedup_lines compares content-defined chunks instead: a rolling hash over the hashes of neighbouring lines decides where a
+chunk ends. It misses passages that two documents don't cut at the same places; no query uses it.
 """
 
 from __future__ import annotations
@@ -127,3 +131,100 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataF
     rows = rows.withColumn("__cut", cut(text, F.col("__gone")))
     others = [c for c in docs.columns if c not in new]
     return rows.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others], *[F.col(f"__cut.{c}") for c in new])
+
+
+def windows(lines: list[bytes], long_line: int = 50) -> Iterator[tuple[int, int]]:
+    """Half-open line ranges: two neighbouring lines that aren't blank with the blank ones between, and each long line."""
+    before = -1
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        if before >= 0:
+            yield before, i + 1
+        if len(line) >= 2 * long_line - 1 and len(line.split()) >= long_line:
+            yield i, i + 1
+        before = i
+
+
+def _windows(docs: DataFrame, long_line: int, wanted=None) -> DataFrame:
+    """doc_id, th, lo, hi, h1, h2 of each window; with wanted (a broadcast sorted array of h1, all if empty), its bytes too."""
+    names = ["doc_id", "th", "lo", "hi", "h1", "h2"] + ["bytes"] * (wanted is not None)
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = wanted.value if wanted is not None else ()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part, out = batch.slice(at, 1_000), []
+                for doc_id, th, text in zip(*(c.to_pylist() for c in part.columns)):
+                    lines = (text or "").encode().split(b"\n")
+                    for lo, hi in windows(lines, long_line):
+                        data = b"\n".join(lines[lo:hi])
+                        d = xxhash.xxh3_128_digest(data)
+                        row = doc_id, th, lo, hi, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                        out.append(row if wanted is None else (*row, data))
+                if len(few) and out:
+                    h1 = np.array([x[4] for x in out], np.int64)
+                    keep = few[np.minimum(np.searchsorted(few, h1), len(few) - 1)] == h1
+                    out = [x for x, k in zip(out, keep) if k]
+                cols = list(zip(*out)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, lo int, hi int, h1 long, h2 long" + ", bytes binary" * (wanted is not None))
+
+
+def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataFrame:
+    """docs with text less its repeated passages, and n_chunks (content-defined chunks of the text that came), n_removed
+    (runs of lines), n_removed_lines.
+
+    A line goes if a window that holds it stands at an earlier (doc_id, text hash, line) that it doesn't overlap; a null doc_id
+    comes first. What is earlier is judged on the texts as they came; of equal lines one always stays. Rows equal in doc_id and
+    text are one document: what goes from one goes from the others. A null text stays null and has no chunks, an empty one
+    has one that stays. Blank lines beside a passage stay. A text may lose all its lines and is then empty; its row stays.
+    All other columns are passed on, except those whose names clash with the three new ones, which win.
+    """
+    spark = docs.sparkSession
+    hashes = stage(_windows(docs, long_line), "windows")
+    place = F.struct("doc_id", "th", "lo")
+    repeated = stage(hashes.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("h1", "h2", "first"), "repeated")
+    discard(hashes)
+    n = repeated.count()
+    if n:
+        wanted = np.unique(repeated.select("h1").toArrow().column(0).to_numpy()) if n <= BROADCAST_HASHES else np.zeros(0, np.int64)
+        texts = stage(_windows(docs, long_line, spark.sparkContext.broadcast(wanted)).join(repeated, ["h1", "h2"]), "passages")
+    else:
+        texts = repeated.selectExpr("h1", "h2", "0L doc_id", "0L th", "0 lo", "0 hi", "binary('') bytes", "first")
+    kept = texts.where(F.col("first").eqNullSafe(place)).select("h1", "h2", F.col("bytes").alias("kept")).dropDuplicates(["h1", "h2"])
+    overlaps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("lo") < F.col("first.lo") + F.col("hi") - F.col("lo"))
+    drop = texts.where(~overlaps).join(kept, ["h1", "h2"]).where(F.col("bytes") == F.col("kept"))
+    drops = stage(drop.groupBy("doc_id", "th").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("gone")), "drops")
+    discard(texts, repeated)
+
+    @F.pandas_udf("text string, n_chunks int, n_removed int, n_removed_lines int")
+    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, g in zip(text, gone):
+            if t is None:
+                out.append((None, 0, 0, 0))
+                continue
+            lines = t.encode().split(b"\n")
+            n_chunks = len(chunk_bounds(lines, divisor, long_line))
+            if g is None:
+                out.append((t, n_chunks, 0, 0))
+                continue
+            go = np.zeros(len(lines) + 1, bool)
+            for x in map(int, g):
+                go[x >> 32 : x & 0xFFFFFFFF] = True
+            runs = int((go[1:] < go[:-1]).sum())
+            out.append((b"\n".join(x for x, out_ in zip(lines, go) if not out_).decode(), n_chunks, runs, int(go.sum())))
+        return pd.DataFrame(out, columns=["text", "n_chunks", "n_removed", "n_removed_lines"])
+
+    new = ["n_chunks", "n_removed", "n_removed_lines"]
+    text = F.col("text").cast("string")
+    rows = docs.drop(*new).withColumn("__th", F.xxhash64(text))
+    g = drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
+    # Merged at every size: what is broadcast would grow with the documents that lose lines.
+    rows = rows.join(g.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
+    rows = rows.withColumn("__cut", cut(text, F.col("__gone")))
+    others = [c for c in docs.columns if c not in new]
+    return rows.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others], *[F.col(f"__cut.{c}") for c in new])

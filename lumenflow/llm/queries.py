@@ -33,7 +33,7 @@ def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op4_line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    out = op4_line_chunks.dedup_runs(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_chunks", "n_removed", "n_removed_lines")
 
 

@@ -140,6 +140,46 @@ def test_line_dedup_of_repeated_rows_and_nothing(spark, docs_of):
     assert op4_line_chunks.dedup_lines(docs_of([])).collect() == []
 
 
+def brute_runs(rows):
+    """Texts less every line run that stands earlier: all starts, ends and earlier places are tried."""
+    texts = {i: t.split("\n") for i, t in rows}
+    passage = lambda run: sum(bool(x.strip()) for x in run) > 1 or any(len(x.split()) >= 50 for x in run)
+    order, out = sorted(texts), {}
+    for at, i in enumerate(order):
+        mine, go = texts[i], set()
+        for j in order[: at + 1]:
+            theirs = texts[j]
+            for lo in range(len(mine)):
+                for p in range(len(theirs) if j < i else lo):
+                    n = 0
+                    while lo + n < len(mine) and p + n < (len(theirs) if j < i else lo) and mine[lo + n] == theirs[p + n]:
+                        n += 1
+                    run = mine[lo : lo + n]
+                    if passage(run):
+                        solid = [lo + k for k, x in enumerate(run) if x.strip()]
+                        go |= set(range(solid[0], solid[-1] + 1))
+        out[i] = "\n".join(x for k, x in enumerate(mine) if k not in go)
+    return out
+
+
+def test_repeated_runs_go_wherever_they_are_cut(spark, docs_of):
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choices("alpha beta gamma delta eps".split(), k=rng.choice([1, 12, 30]))) + str(rng.random())
+    shared = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 5, 9)] + [[line(), "", line()], [" ".join(f"w{i}" for i in range(50))]]
+    rows = []
+    for i in range(40):
+        parts = [[line() for _ in range(rng.randrange(3))], rng.choice(shared), [line()] * rng.randrange(4), rng.choice(shared), ["Title", ""][: rng.randrange(3)]]
+        rows.append((i, "\n".join(x for p in parts for x in p)))
+    rows += [(50, "a\na\na\na\nb"), (51, "single"), (52, "single\n\n"), (53, "\n\n")]
+    got = {r.doc_id: r for r in op4_line_chunks.dedup_runs(docs_of(rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == brute_runs(rows)
+    assert all(r.n_removed_lines == t.count("\n") + 1 - (r.text.count("\n") + 1 if r.text or not r.n_removed else 0) for i, t in rows for r in [got[i]] if r.text or not r.n_removed)
+    again = op4_line_chunks.dedup_runs(docs_of([(None, rows[0][1]), (5, rows[0][1]), (5, rows[0][1]), (6, None), (7, "")])).collect()
+    assert sum(r.n_removed_lines for r in again if r.doc_id is None) == 0 and all(r.n_removed and not r.text.strip() for r in again if r.doc_id == 5)
+    assert {r.doc_id: r.text for r in again if r.doc_id in (6, 7)} == {6: None, 7: ""}
+    assert op4_line_chunks.dedup_runs(docs_of([])).collect() == []
+
+
 def vectors(seed, n=500, dims=16):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(25, dims))
