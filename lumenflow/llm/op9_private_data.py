@@ -63,7 +63,7 @@ def _words() -> Column:
     left = f"if(trim({tidy('m.g')}) = '', if(i = 0, '^', '#'), lower(right(substring_index(rtrim({tidy('m.g')}), ' ', -1), 40)))"
     right = f"if(trim({tidy('m.n')}) = '', '$', lower(left(substring_index(ltrim({tidy('m.n')}), ' ', 1), 40)))"
     gaps, found = f"split(text, '{w}', -1)", f"regexp_extract_all(text, '{w}', 0)"
-    joined = f"zip_with(zip_with({gaps}, {found}, (g, f) -> named_struct('g', g, 'f', f)), slice({gaps}, 2, 2147483647), (m, n) -> named_struct('g', m.g, 'f', m.f, 'n', n))"
+    joined = f"zip_with(zip_with({gaps}, {found}, (g, f) -> named_struct('g', g, 'f', f)), slice({gaps}, 2, size({gaps})), (m, n) -> named_struct('g', m.g, 'f', m.f, 'n', n))"
     return F.expr(f"""if(text rlike '[0-9]', transform(filter({joined}, m -> m.f is not null),
         (m, i) -> named_struct('v', if(length(m.f) > 200, sha2(m.f, 256), regexp_replace(m.f, '[.,;:!?)]+$', '')), 'l', {left}, 'r', {right}, 'g', length(m.g), 'f', length(m.f), 'ok', true)), null)""")
 
@@ -86,7 +86,10 @@ def _candidates(base: DataFrame) -> DataFrame:
 
 
 def discover(candidates: DataFrame, rounds: int = 3, sure: float = 0.6, support: int = 3) -> DataFrame:
-    """v, score of instances that no base pattern covers and that high-confidence patterns find.
+    """v, l, r, score of instances that no base pattern covers and that high-confidence patterns find.
+
+    l and r are null where all occurrences of v count. A string that a base pattern covers somewhere is a seed; its other occurrences count
+    each by their own two patterns (l, r), scored after the last round without what the string itself gives them.
 
     Pattern: the word to the left or to the right. Its score is the sum of its instances' scores by (their number + LAMBDA),
     counted by distinct instances, and 0 below support of them. An instance's score is 1 less the product of (1 - its patterns' scores); seeds have 1.
@@ -101,8 +104,17 @@ def discover(candidates: DataFrame, rounds: int = 3, sure: float = 0.6, support:
         new = score.join(reached, "v", "left").select("v", "seed", F.when(F.col("seed"), 1.0).when(F.col("new") >= sure / 2, F.col("new")).otherwise(0.0).alias("s"))
         old, score = score, stage(new, "scores")
         discard(old)
-    discard(graph)
-    return score.where(~F.col("seed") & (F.col("s") >= sure)).select("v", F.col("s").alias("score"))
+    totals = graph.select("v", "p").join(score, "v").groupBy("p").agg(F.sum("s").alias("t"), F.count("*").alias("c"))
+    left, right = F.concat(F.lit("L:"), "l"), F.concat(F.lit("R:"), "r")
+    open_ = candidates.where("not seed").join(score.where("seed").select("v"), "v").select("v", "l", "r").distinct()
+    others = open_.select("v", "l", "r", F.explode(F.array(left, right)).alias("p")).join(totals.where(F.col("c") > support), "p")
+    others = others.select("v", "l", "r", ((F.col("t") - 1) / (F.col("c") - 1 + LAMBDA)).alias("ps")).where("ps > 0.05")
+    known = others.groupBy("v", "l", "r").agg((1 - F.exp(F.sum(F.log(1 - F.least("ps", F.lit(0.999)))))).alias("score")).where(F.col("score") >= sure)
+    none = F.lit(None).cast("string")
+    new = score.where(~F.col("seed") & (F.col("s") >= sure)).select("v", none.alias("l"), none.alias("r"), F.col("s").alias("score"))
+    added = stage(new.union(known), "added")
+    discard(graph, score)
+    return added
 
 
 def find_private_data(docs: DataFrame, rounds: int = 3, sure: float = 0.6, support: int = 3) -> DataFrame:
@@ -115,7 +127,8 @@ def find_private_data(docs: DataFrame, rounds: int = 3, sure: float = 0.6, suppo
     base = stage(base_spans(docs), "base")
     candidates = stage(_candidates(base), "instances")
     added = discover(candidates, rounds, sure, support)
-    more = candidates.where("not seed").join(added, "v").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("id"))
+    here = added.select("v", F.col("l").alias("al"), F.col("r").alias("ar"))
+    more = candidates.where("not seed").join(here, "v").where("al is null or al <=> l and ar <=> r").groupBy("rid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("id"))
     rows = base.select("rid", "doc_id", *KINDS).join(more, "rid", "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
 

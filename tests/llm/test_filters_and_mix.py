@@ -61,6 +61,13 @@ def test_private_data_of_repeated_rows_and_nothing(spark, docs_of):
     assert op9_private_data.find_private_data(docs_of([])).collect() == []
 
 
+def test_known_strings_are_found_outside_base_spans(spark, docs_of):
+    rows = [f"please call +{i} (0{i}7) 555-77{i} thanks" for i in range(10, 18)] + [f"reach desk user{i}@mail.org today" for i in range(8)]
+    rows += ["reach desk 555-7713 today", "we vote +13 here", "some (0137) things", "a 555-7713 b"]
+    got = [r.spans for r in sorted(op9_private_data.find_private_data(docs_of(list(enumerate(rows)))).collect(), key=lambda r: r.doc_id)]
+    assert got[16:] == ["id:11:19", "", "", ""]
+
+
 URLS = ["https://WWW.Example.com/en/1?x=/es/", "http://example.com", "http://example.com/en/", "http://sub.www.example.com/en/q#f", "ftp://a.net/es/", "http://net/fr/x", "http://xnet/fr/x", "no scheme.com/", None, "", "://com/", "http://a.com:80/", "http://m.a.org/p.html?utm_source=z", "http://www.a.org/p/", "http://a.org/p", "http://a.org/q", "http://b.org/?a://b.com/", "x://y://com/"]
 
 
