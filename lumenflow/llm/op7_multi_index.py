@@ -2,6 +2,8 @@
 
 Each half of the vectors has a codebook; a cell of the index is a pair of centroids. A query takes the pairs in the order of the summed
 distances of its halves, from a heap, until the cells that it took hold enough entries, and ranks these by the exact inner product.
+Cells are of lengthened vectors, whose distances have the order of the inner products: entries get a last component that gives
+all of them the norm of the longest, queries a zero.
 """
 
 from __future__ import annotations
@@ -42,6 +44,14 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
 
 
+def lengthened(x: np.ndarray, longest: float, query: bool = False) -> np.ndarray:
+    """x with one more column: what entries lack to the norm longest; queries have 0 there and get that norm."""
+    if query:
+        x = x / np.abs(x).max(1, initial=0)[:, None]
+        return np.c_[x / np.sqrt((x**2).sum(1))[:, None] * longest, np.zeros(len(x))]
+    return np.c_[x, np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))]
+
+
 def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
     """The cells that a query takes: pairs by rising d1 + d2, until they hold enough entries. counts: entries of each pair."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
@@ -91,20 +101,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65
     out = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(finite_vector(F.col("embedding")) & F.col("vec_id").isNotNull())
-    n, dims = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    n, dims, longest = rows.agg(F.count("*"), F.max(F.size("embedding")), F.sqrt(F.max(square))).first()
     if not n:
         return spark.createDataFrame([], out)
     half = max(1, dims // 2)
     size = int(np.clip(2 * n**0.25, 2, 256))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    x = matrix(sample, dims)
-    books = codebook(x[:, :half], size, seed), codebook(x[:, half:], size, seed + 1) if dims > half else np.zeros((size, 0))
+    x = lengthened(matrix(sample, dims), longest)
+    books = codebook(x[:, :half], size, seed), codebook(x[:, half:], size, seed + 1)
     enough = max(least, int(np.ceil(share * n)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), dims)
-            cell = distances(x[:, :half], books[0]).argmin(1) * size + distances(x[:, half:], books[1]).argmin(1)
+            long = lengthened(x, longest)
+            cell = distances(long[:, :half], books[0]).argmin(1) * size + distances(long[:, half:], books[1]).argmin(1)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int64)), "vec_id": b.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     index = stage(rows.mapInArrow(assign, "cell long, vec_id long, x binary"), "index")
@@ -123,7 +135,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), dims)
-            d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+            long = lengthened(x, longest, query=True)
+            d1, d2 = distances(long[:, :half], books[0]), distances(long[:, half:], books[1])
             got: dict[str, list] = {"block": [], "query_id": [], "x": [], "cells": []}
             for i, q in enumerate(b.column(0).to_pylist()):
                 cells = traverse(d1[i], d2[i], counts, enough).ravel()

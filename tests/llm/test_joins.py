@@ -262,6 +262,16 @@ def test_search_recall_when_cells_are_skipped(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_search_recall_of_mixed_norms(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(3000, 32)) * rng.lognormal(0, 0.7, 3000)[:, None] / 32**0.5).astype("f4")
+    got = op7_multi_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), least=100).collect()
+    want = brute_nearest(np.arange(3000), x.astype("f8"), 20)
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & {v for v, _ in near}) for q, near in want.items())
+    print("recall", hits / sum(map(len, want.values())))
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_traversal_takes_pairs_in_order():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random(9), rng.random(9)
