@@ -49,10 +49,13 @@ class _Pretokens(dict):
 class PieceCache(dict):
     """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); emptied when it holds limit words."""
 
-    def __init__(self, path: str, limit: int = 1_800_000):
+    def __init__(self, path: str, limit: int = 1_800_000, added: bool = False):
+        """added: literals of the file's added tokens get these tokens' ids, as the library gives by default."""
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        literals = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content] if added else []
+        self.added = re.compile("|".join(map(re.escape, literals)), re.IGNORECASE) if literals else None
         self.lower, self.limit, self.other = self.tok.normalizer is not None, limit, {}
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.pretokens = _Pretokens(self.tok.model, "H" if self.dtype.itemsize == 2 else "I", limit * 2 // 3)
@@ -84,6 +87,8 @@ class PieceCache(dict):
         """Ids of a whole text as bytes of self.dtype; a null text is empty."""
         if not text:
             return b""
+        if self.added and self.added.search(text):
+            return self._whole(text)
         if _PLAIN.fullmatch(text):
             if self.lower:
                 return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -104,5 +109,5 @@ def cache_for(path: str) -> PieceCache:
     """One cache for each tokenizer file and Python worker."""
     if path not in _caches:
         _caches.clear()
-        _caches[path] = PieceCache(path)
+        _caches[path] = PieceCache(path, added=True)
     return _caches[path]

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lumenflow.llm import op1_wavelet, op6_packing
-from lumenflow.llm.tokens import PieceCache
+from lumenflow.llm.tokens import PieceCache, cache_for
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", "a  b\n\n c\t d ", "it's DON'T <|endoftext|> x y z\x1cq", "Ünï ½ ² é 日本語 🙂🙂   a", " \n ", "  x", "x  ", "a\r\nb", "ΑΣ Σ İstanbul", "word " * 3000, "x" * 20_000, "one two\nthree four", "é café"]
@@ -21,6 +21,13 @@ def test_cached_pieces_encode_like_the_library(path):
     assert cache.encode(None) == b""
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_operators_encode_added_tokens_like_the_library(path):
+    cache, tok = cache_for(path), Tokenizer.from_file(path)
+    for text in [*TEXTS, "a <|endoftext|> b", "<|startoftext|>", "x<|ENDOFTEXT|>  y", "日<|endoftext|><|endoftext|>\n", "<|endoftext|"]:
+        assert np.frombuffer(cache.encode(text), cache.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n, alphabet", [(0, 1), (1, 1), (7, 1), (5000, 3), (70_000, 900)])
 def test_shard_answers_like_an_array(tmp_path, n, alphabet):
     ids = np.random.default_rng(1).integers(0, alphabet, n).astype("<u4") * 7
