@@ -1,6 +1,6 @@
 """Personal data: base patterns, and contextual patterns bootstrapped from what these find.
 
-Every word that holds a digit is an instance; the words to its left and right are its lexical patterns. Instances that a
+Every word that holds a digit or @ is an instance, so every base span has one; the words to its left and right are its lexical patterns. Instances that a
 base pattern covers are seeds. In rounds, a pattern's score is the share of sure instances among its occurrences, and an
 instance's the chance that one of its patterns is right. Instances that high-confidence patterns reach become spans of kind "id".
 """
@@ -21,7 +21,7 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?[0-9]){11,}+", r"[0-9](?:[\x20-]?[0-9]){11}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-WORD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LAMBDA = 2.0
 
 
@@ -57,14 +57,14 @@ def _places(matches: str) -> Column:
 
 
 def _words() -> Column:
-    """array<struct<v: word, l: left word, r: right word, g, f, ok>> of words that hold a digit."""
+    """array<struct<v: word, l: left word, r: right word, g, f, ok>> of words that hold a digit or @, so of every base span."""
     w = WORD.replace("\\", "\\\\")
     tidy = lambda s: f"translate({s}, '\\n\\t\\r', '   ')"
     left = f"if(trim({tidy('m.g')}) = '', if(i = 0, '^', '#'), lower(right(substring_index(rtrim({tidy('m.g')}), ' ', -1), 40)))"
     right = f"if(trim({tidy('m.n')}) = '', '$', lower(left(substring_index(ltrim({tidy('m.n')}), ' ', 1), 40)))"
     gaps, found = f"split(text, '{w}', -1)", f"regexp_extract_all(text, '{w}', 0)"
     joined = f"zip_with(zip_with({gaps}, {found}, (g, f) -> named_struct('g', g, 'f', f)), slice({gaps}, 2, size({gaps})), (m, n) -> named_struct('g', m.g, 'f', m.f, 'n', n))"
-    return F.expr(f"""if(text rlike '[0-9]', transform(filter({joined}, m -> m.f is not null),
+    return F.expr(f"""if(text rlike '[0-9@]', transform(filter({joined}, m -> m.f is not null),
         (m, i) -> named_struct('v', if(length(m.f) > 200, sha2(m.f, 256), regexp_replace(m.f, '[.,;:!?)]+$', '')), 'l', {left}, 'r', {right}, 'g', length(m.g), 'f', length(m.f), 'ok', true)), null)""")
 
 
@@ -76,7 +76,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(base: DataFrame) -> DataFrame:
-    """rid, v, l, r, s, e, seed for each word that holds a digit."""
+    """rid, v, l, r, s, e, seed for each word that holds a digit or @."""
     known = F.concat(*KINDS)
     with_places = base.where("size(words) > 0").select("rid", known.alias("known"), F.expr("""
         aggregate(words, named_struct('pos', 0, 'out', cast(array() as array<struct<v:string,l:string,r:string,s:int,e:int>>)),

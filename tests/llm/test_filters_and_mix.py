@@ -68,6 +68,12 @@ def test_known_strings_are_found_outside_base_spans(spark, docs_of):
     assert got[16:] == ["id:11:19", "", "", ""]
 
 
+def test_seeds_without_a_digit_induce_patterns(spark, docs_of):
+    rows = [f"word reach desk {n}.smith@mail.org today" for n in ("john", "ann", "bob", "eve", "kim", "lee")] + ["word reach desk ZX-99812 today", "in 1999 it was"]
+    got = [r.spans for r in sorted(op9_private_data.find_private_data(docs_of(list(enumerate(rows)))).collect(), key=lambda r: r.doc_id)]
+    assert got[6:] == ["id:16:24", ""]
+
+
 URLS = ["https://WWW.Example.com/en/1?x=/es/", "http://example.com", "http://example.com/en/", "http://sub.www.example.com/en/q#f", "ftp://a.net/es/", "http://net/fr/x", "http://xnet/fr/x", "no scheme.com/", None, "", "://com/", "http://a.com:80/", "http://m.a.org/p.html?utm_source=z", "http://www.a.org/p/", "http://a.org/p", "http://a.org/q", "http://b.org/?a://b.com/", "x://y://com/"]
 
 
