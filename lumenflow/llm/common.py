@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,15 +69,18 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by repeated contraction.
 
     edges: columns u, v (long). Returns id, component (the smallest id reachable) for every id
-    that an edge names. Each round points every vertex at its smallest neighbour and contracts the graph
-    along these pointers; a round's tables are staged, so no lineage grows and nothing goes to the driver.
-    Self loops and repeated edges are harmless; null ends are ignored; no edges give an empty table.
+    that an edge names. Each round points every vertex at its first neighbour (if that comes before itself) and contracts the graph
+    along these pointers. In the first two rounds the order is that of the ids, which ends stars around their smallest id at once, then a
+    hash that changes with the round, so that a path too shrinks by a constant factor a round. A round's tables are staged, so no lineage
+    grows and nothing goes to the driver. Self loops and repeated edges are harmless; null ends are ignored; no edges give an empty table.
     """
     rest = stage(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    labels = None
+    labels, turn = None, 0
     while labels is None or not is_empty(rest):
+        rank = (lambda c: F.col(c)) if turn < 2 else (lambda c, t=turn: F.xxhash64(c, F.lit(t)))
         both = rest.select(F.col("u").alias("id"), F.col("v").alias("to")).union(rest.select("v", "u"))
-        parent = stage(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("p")), "parents")
+        first = F.least(F.min(F.struct(rank("to").alias("r"), F.col("to").alias("p"))), F.struct(rank("id").alias("r"), F.col("id").alias("p")))
+        parent = stage(both.groupBy("id").agg(first.alias("x")).select("id", F.col("x.p").alias("p")), "parents")
         if labels is None:
             grown = parent.select("id", F.col("p").alias("component"))
         else:
@@ -86,6 +91,33 @@ def components(edges: DataFrame) -> DataFrame:
         left = rest.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         left = stage(left, "edges")
         discard(labels, rest, parent)
-        labels, rest = grown, left
-    discard(rest)
-    return labels
+        labels, rest, turn = grown, left, turn + 1
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    out = stage(labels.join(least, "component").select("id", F.col("least").alias("component")), "components")
+    discard(rest, labels)
+    return out
+
+
+def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For n places joined by links (p, q), the smallest place that each reaches."""
+    lab = np.arange(n)
+    while True:
+        low = np.minimum(lab[p], lab[q])
+        new = lab.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str, make: Callable[[], dict]) -> dict:
+    """The one cache that a Python worker holds; a task that asks for another drops it, so those of several operators never add up."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = make()
+    return _caches[name]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import components, discard, finite_vector, is_empty, stage
+from lumenflow.llm.common import components, discard, finite_vector, forest, is_empty, stage
 from lumenflow.llm.vectors import matrix, unit
 
 #: Vectors of a block; intervals joined in memory; blocks of an interval of the next level; axes in the order; axes in boxes.
@@ -146,20 +146,6 @@ def link_block_pair(xa: np.ndarray, xb: np.ndarray, same: bool, axes: np.ndarray
     return (np.concatenate(p), np.concatenate(q)) if p else (none, none)
 
 
-def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For n places joined by links (p, q), the smallest place that each reaches."""
-    lab = np.arange(n)
-    while True:
-        low = np.minimum(lab[p], lab[q])
-        new = lab.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        new = new[new]
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
 def _links(blocks: DataFrame, pairs: DataFrame, dims: int, axes: np.ndarray, least: float, eps: float) -> DataFrame:
     """id, links (vectors linked with it in one pair of blocks), root (another id of its component there, or itself)."""
 

@@ -1,39 +1,43 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-Tokens (hashed word n-grams) are ordered globally from rare to common by a fixed-size count sketch of the whole corpus. Two
-sets whose similarity reaches the threshold share at least m tokens of their prefixes when each keeps its
-size - ceil(threshold * size) + m first tokens. Each document picks its own m: a longer prefix costs more postings but
-lets candidates through only with m shared tokens, and the sketch estimates both. A pair needs the smaller of its two m, and
+Tokens (hashed word n-grams) are ordered globally from rare to common by a fixed-size count sketch of the whole corpus, which only
+sets the order. Two sets whose similarity reaches the threshold share at least m tokens of their prefixes when each keeps its
+size - ceil(threshold * size) + m first tokens. The longest prefixes are listed first and the exact length of each token's list is
+counted; tokens that one document alone lists go. Each document then picks its own m from these lengths: a longer prefix costs more
+postings but lets candidates through only with m shared tokens. A pair needs the smaller of its two m, and
 enough shared tokens that with all tokens behind the prefixes it could still reach the threshold.
 
-Large families of near copies are merged before all candidates are listed: rounds pair each document with a few random
-neighbours in its postings, verify these and merge components, until the pairs left between different components are
-a few for each posting or hardly get fewer. Only those are then joined, all that a signature of the prefixes (a bit for each
-token) lets reach the threshold, so no link between components is missed.
+No pair becomes a row. Documents that shared tokens connect are a family; families are put one after another, and the sequence is cut
+into blocks of bounded size. Within a block, and between blocks of one family that share a token, products of incidence
+matrices count the shared prefix tokens, then the whole sets' of those that pass; what a block or pair of blocks returns
+is a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import components, discard, is_empty, stage
+from lumenflow.llm.common import components, discard, forest, stage, worker_cache
 
 SKETCH_BITS, CHUNKS = 22, 64
-#: Longs of a prefix's signature, which bounds how many tokens two prefixes share before any are compared.
-SIGNATURE = 8
-#: Up to so many document ids are sent to all executors as an array (16 MB); beyond, a shuffle picks their rows.
-BROADCAST_IDS = 2_000_000
+#: Documents of a block, tokens of a block (a longer document is a block of its own), columns of a matrix.
+BLOCK, BLOCK_TOKENS, COLUMNS = 256, 400_000, 4_096
+#: log2 of the bits of the filter that spares documents without candidates the second hashing; of any size it lets too many through at worst.
+FILTER_BITS = 24
 
 
 class _WordHash(dict):
+    """Word -> hash; emptied when it holds 150,000 words (about 30 MB)."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 60:
@@ -41,9 +45,6 @@ class _WordHash(dict):
         return h
 
 
-_words = _WordHash()
-
-
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word shingles: ASCII-lower-cased words between ASCII white space.
 
@@ -52,7 +53,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(worker_cache("op8-words", _WordHash).__getitem__, words), np.uint64, len(words))
     k = min(k, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
@@ -66,18 +67,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_key() -> Column:
+    """A hash that tells apart the texts of rows which share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"), F.lit(8))
+
+
+def _class_of(s: np.ndarray) -> int:
+    """Equal sets are one class; it is named by a 64-bit digest."""
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+
+
 def _digest(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, d1, d2: its set's digest) and, per task, the chunks of its count sketch."""
+    """A row for each document (doc_id, key of its text, n, class) and, per task, the chunks of its count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "n", "d1", "d2", "chunk", "counts"]
+        names = ["doc_id", "key", "n", "class", "chunk", "counts"]
         for batch in batches:
             out, held, waiting = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(1):
                 s = shingles(text.as_py(), k)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((doc_id, len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                out.append((len(s), _class_of(s) if len(s) else None))
                 held.append(s >> np.uint64(64 - SKETCH_BITS))
                 waiting += len(s)
                 if waiting > 1 << 20:
@@ -85,13 +95,13 @@ def _digest(docs: DataFrame, k: int) -> DataFrame:
                     held, waiting = [], 0
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
+            cols = [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * 2)]
+            yield pa.RecordBatch.from_arrays(cols + [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
         if counts.any():
             for c, part in enumerate(np.split(counts, CHUNKS)):
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([c], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=names)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, chunk int, counts binary")
+    return _texts(docs).withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, n long, class long, chunk int, counts binary")
 
 
 def _sketch(digests: DataFrame) -> np.ndarray:
@@ -115,182 +125,272 @@ def _sketch(digests: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int, longest: int) -> tuple[int, np.ndarray]:
-    """The number of shared tokens to ask for and the prefix that makes it enough.
-
-    For each m the cost is that of reading the prefix's postings and of verifying the candidates that may share m of its
-    tokens: the postings' total divided by m, each as long as this set.
-    """
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int, longest: int) -> np.ndarray:
+    """The longest prefix that any m up to longest asks for: a set's first tokens in the global order, in this order."""
     n = len(s)
-    base = n - -(-percent * n // 100)
-    most = min(longest, n - base)
-    c = counts[s >> np.uint64(64 - SKETCH_BITS)]
-    step = np.minimum(np.log2(c + 1.0) * 8, 255).astype(np.uint64)  # coarse, then by the hash: a global order
+    take = min(n - -(-percent * n // 100) + longest, n)
+    step = np.minimum(np.log2(counts[s >> np.uint64(64 - SKETCH_BITS)] + 1.0) * 8, 255).astype(np.uint64)  # coarse, then by the hash
     key = step << np.uint64(56) | s >> np.uint64(8)
-    take = min(base + most, n)
     order = np.argpartition(key, take - 1)[:take] if take < n else np.arange(n)
-    order = order[np.argsort(key[order])]
-    others = np.cumsum(np.maximum(c[order] - noise, 1.0)) - np.arange(1, len(order) + 1)
-    ms = np.arange(1, most + 1)
-    reach = others[base + ms - 1]
-    m = int(ms[np.argmin(reach + 8 * ms + reach / ms * (4 + n / 64))])
-    return m, s[order[: base + m]]
-
-
-def signature(p: np.ndarray) -> tuple[np.ndarray, int]:
-    """A bit for each token's hash, in longs, and how many tokens share a bit with another of the prefix."""
-    bits = np.zeros(64 * SIGNATURE, bool)
-    bits[((p * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(64 * SIGNATURE)] = True
-    return np.packbits(bits, bitorder="little").view("<i8"), len(p) - int(bits.sum())
+    return s[order[np.lexsort((s[order], key[order]))]]
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, longest: int, counts: np.ndarray) -> DataFrame:
-    noise = float(counts.sum(dtype=np.int64)) / len(counts)
+    """id (the class), doc (its smallest doc_id), n, tokens (the longest prefix) of each class."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            ids, sizes, ms, tokens, sigs, lost = [], [], [], [], [], []
+            ids, names, sizes, tokens = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), k)
-                if doc_id is not None and len(s):
-                    m, p = prefix(s, table, noise, percent, longest)
-                    sig, hidden = signature(p)
-                    ids.append(doc_id), sizes.append(len(s)), ms.append(m), tokens.append(p.view(np.int64)), sigs.append(sig), lost.append(hidden)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "m": pa.array(ms, pa.int32()), "tokens": pa.array(tokens, longs), "sig": pa.array(sigs, longs), "hidden": pa.array(lost, pa.int32())})
+                if len(s):
+                    ids.append(_class_of(s)), names.append(doc_id), sizes.append(len(s)), tokens.append(prefix(s, table, percent, longest).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "doc": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
-    return _texts(docs).mapInArrow(run, "id long, n int, m int, tokens array<long>, sig array<long>, hidden int")
+    rows = _texts(docs).mapInArrow(run, "id long, doc long, n int, tokens array<long>")
+    return rows.groupBy("id").agg(F.min("doc").alias("doc"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, tokens (the whole set) of the documents that ids names."""
-    rows, chosen = _texts(docs), None
-    if ids.count() <= BROADCAST_IDS:
-        chosen = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(ids.toPandas()["id"], np.int64)))
-    else:
-        rows = rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+def choose_m(percent: int, longest: int) -> str:
+    """SQL: the number of shared tokens to ask for, from n and shared (pos, tok, c: the length of the token's list).
+
+    For each m the cost is that of reading the prefix's postings and of verifying the candidates that may share m of its
+    tokens: the postings' total divided by m, each as long as this set. Ties go to the smaller m.
+    """
+    base = f"(n - cast(ceil({percent}L * n / 100D) as int))"
+    reach = f"aggregate(shared, 0D, (t, x) -> t + if(x.pos < {base} + m, x.c - 1, 0))"
+    costs = f"transform(sequence(1, least({longest}, n - {base})), m -> named_struct('cost', {reach} * (1 + (4 + n / 64D) / m) + 8 * m, 'm', m))"
+    return f"array_min({costs}).m"
+
+
+def _candidates(docs: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int) -> DataFrame:
+    """id, doc, n, m, p (length of the prefix), tokens (those of the prefix that other documents list too) of documents that have such tokens."""
+    prefixes = stage(_prefixes(docs, k, percent, longest, counts), "prefixes")
+    posts = prefixes.select("id", F.posexplode("tokens").alias("pos", "tok"))
+    lists = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    shared = posts.join(lists, "tok").groupBy("id").agg(F.collect_list(F.struct("pos", "tok", "c")).alias("shared"))
+    chosen = shared.join(prefixes.select("id", "doc", "n"), "id").withColumn("m", F.expr(choose_m(percent, longest)))
+    chosen = chosen.withColumn("p", F.expr(f"n - cast(ceil({percent}L * n / 100D) as int) + m"))
+    out = stage(chosen.select("id", "doc", "n", "m", "p", F.expr("transform(filter(shared, x -> x.pos < p), x -> x.tok)").alias("tokens")).where("size(tokens) > 0"), "candidates")
+    discard(prefixes)
+    return out
+
+
+def _families(candidates: DataFrame) -> DataFrame:
+    """id, label: candidates that tokens of their prefixes connect have one label; those that nothing connects are left out."""
+    posts = candidates.select("id", F.explode("tokens").alias("tok"))
+    first = posts.groupBy("tok").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("tok", "first")
+    return components(posts.join(first, "tok").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))).withColumnRenamed("component", "label")
+
+
+def _members(candidates: DataFrame) -> DataFrame:
+    """Candidates with label and block: families one after another, a family's documents by their smallest token, in blocks of bounded size."""
+    families = _families(candidates)
+    rows = candidates.join(families, "id").withColumn("lead", F.array_min("tokens")).repartitionByRange("label", "lead", "id")
+    dealt = stage(rows.withColumn("part", F.spark_partition_id()), "dealt")  # written once, so that counts and places are of the same parts
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_TOKENS)
+    totals = dealt.groupBy("part").agg(F.sum(weight).alias("w"))
+    before = totals.select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("before"))  # a row for each part
+    place = F.sum(weight).over(Window.partitionBy("part").orderBy("label", "lead", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - weight
+    out = dealt.withColumn("place", place).join(F.broadcast(before), "part").withColumn("block", F.floor(F.col("place") + F.col("before") + 1e-9).cast("long"))
+    out = stage(out.drop("part", "place", "before", "lead"), "members")
+    discard(dealt, families)
+    return out
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column doc with four bits each, in 2 ** FILTER_BITS bits however many there are."""
+    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(1 << FILTER_BITS)) for i in range(4)])).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for row in words.collect():  # 2 ** 18 rows at most
+        out[row.word] = row.w
+    return out
+
+
+def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """id, set (bytes) of the classes that members names, and of some that the filter lets through besides."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(members.select("doc")))
+    hashes = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << FILTER_BITS)) for i in range(4)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
         for batch in batches:
-            doc_ids = np.array([-1 if d is None else d for d in batch.column(0).to_pylist()], np.int64)
-            keep = np.isin(doc_ids, chosen.value) if chosen is not None else np.ones(len(doc_ids), bool)
-            keep &= np.array(batch.column(0).is_valid())
-            at = np.flatnonzero(keep)
-            sets = [shingles(batch.column(1)[int(i)].as_py(), k).view(np.int64) for i in at]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(doc_ids[at]), "tokens": pa.array(sets, pa.list_(pa.int64()))})
-
-    return stage(rows.mapInArrow(run, "id long, tokens array<long>"), "sets")
-
-
-def _add_verified(edges: DataFrame | None, docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """edges (u, v) and those of the staged pairs (a, b) whose whole sets reach the threshold."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
-    a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    new = both.where(F.col("common") * 100 >= percent * (F.size("ta") + F.size("tb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    out = stage(new if edges is None else new.unionByName(edges), "links")
-    discard(pairs, sets, edges)
-    return out
+            bits = batch.column(2).flatten().to_numpy().reshape(-1, 4)
+            keep = ((words[bits >> 6] >> (bits & 63)) & 1).all(1)
+            sets = [shingles(batch.column(1)[int(i)].as_py(), k) for i in np.flatnonzero(keep)]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(map(_class_of, sets), pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
+    return _texts(docs).withColumn("bits", hashes).mapInArrow(run, "id long, set binary").groupBy("id").agg(F.any_value("set").alias("set"))
 
-def _alike(percent: int, x: str = "na", y: str = "nb") -> str:
-    return f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})"
 
+_COLUMNS = ("ids", "labels", "n", "m", "p", "ends", "tokens", "set_ends", "sets")
+_PACKED = "block long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
-def _reachable(percent: int) -> str:
-    """SQL: whether a pair that shares so many prefix tokens can reach the threshold.
 
-    The prefix that ends earlier in the global order leaves out its set's other tokens and no more, so at most these are shared besides.
-    """
-    return f"shared >= least(ma, mb) and {100 + percent}L * (shared + greatest(na - pa, nb - pb)) >= {percent}L * (na + nb)"
+def _pack(t: pa.Table) -> pa.Table:
+    """The members of a block as one row of arrays."""
+    t = t.sort_by([("label", "ascending"), ("id", "ascending")])
+    tokens, sets = t["tokens"].combine_chunks(), t["set"].to_pylist()
+    ends = np.cumsum([len(x) for x in tokens])
+    got = (t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype("i8"), t["m"].to_numpy().astype("i8"), t["p"].to_numpy().astype("i8"), ends.astype("i8"), tokens.flatten().to_numpy().astype("i8"), np.cumsum([len(x) // 8 for x in sets]).astype("i8"))
+    return pa.table({"block": t["block"].slice(0, 1)} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(_COLUMNS, got)} | {"sets": pa.array([b"".join(sets)], pa.binary())})
 
 
-def _hopeful(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough tokens."""
-    side = lambda x: prefixes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.size("tokens").alias(f"p{x}"), F.col("tokens").alias(f"t{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
-    return both.where(_reachable(percent)).select("a", "b").distinct()
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each of the sets x shares with each of y (None: with each of x), by products of 0/1 matrices."""
 
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
-def _labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return posts.withColumn("label", F.col("id"))
-    return posts.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    vx, rx = flat(x)
+    if y is None:
+        values, column, times = np.unique(vx, return_inverse=True, return_counts=True)
+        common = values[times > 1]
+    else:
+        vy, ry = flat(y)
+        common = np.intersect1d(vx, vy)
+    out = np.zeros((len(x), len(x if y is None else y)), np.float64)
+    if not len(common):
+        return out
+
+    def columns(v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, v), len(common) - 1)
+        hit = np.flatnonzero(common[at] == v)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        return at[hit], r[hit]
+
+    cx, rx = columns(vx, rx)
+    cy, ry = (cx, rx) if y is None else columns(vy, ry)
+
+    def part(c: np.ndarray, r: np.ndarray, lo: int, rows: int) -> np.ndarray:
+        i, j = np.searchsorted(c, [lo, lo + COLUMNS])
+        dense = np.zeros((rows, min(COLUMNS, len(common) - lo)), np.float32)
+        dense[r[i:j], c[i:j] - lo] = 1
+        return dense
+
+    for lo in range(0, len(common), COLUMNS):
+        left = part(cx, rx, lo, len(x))
+        out += left @ (left if y is None else part(cy, ry, lo, out.shape[1])).T
+    return out
 
 
-def _neighbours(posts: DataFrame, percent: int, seed: int, partners: int = 4) -> DataFrame:
-    """Pairs of postings that stand next to each other in a random order of a token's list, the likeliest few a document.
+def _links(a: dict, b: dict | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as (id, root), of the links in a block (b None) or between two; only documents of one family are compared."""
+    found, other = [], a if b is None else b
+    for label in np.unique(a["labels"] if b is None else np.intersect1d(a["labels"], b["labels"])):
+        i, j = np.flatnonzero(a["labels"] == label), np.flatnonzero(other["labels"] == label)
+        if b is None and len(i) < 2:
+            continue
+        rows = lambda d, at, ends, values: [d[values][(d[ends][x - 1] if x else 0) : d[ends][x]] for x in at]
+        shared = overlaps(rows(a, i, "ends", "tokens"), None if b is None else rows(other, j, "ends", "tokens"))
+        na, nb = a["n"][i][:, None], other["n"][j][None, :]
+        pa_, pb = a["p"][i][:, None], other["p"][j][None, :]
+        # the prefix that ends earlier in the global order leaves out its set's other tokens and no more, so at most these are shared besides
+        may = (shared >= np.minimum(a["m"][i][:, None], other["m"][j][None, :])) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        may &= (100 + percent) * (shared + np.maximum(na - pa_, nb - pb)) >= percent * (na + nb)
+        if b is None:
+            may &= i[:, None] < j[None, :]
+        x, y = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if not len(x):
+            continue
+        if b is None:
+            x = y = np.union1d(x, y)
+        whole = overlaps(rows(a, i[x], "set_ends", "sets"), None if b is None else rows(other, j[y], "set_ends", "sets"))
+        u, v = np.nonzero(may[np.ix_(x, y)] & (100 * whole >= percent * (na[x] + nb[:, y] - whole)))
+        if not len(u):
+            continue
+        ids = np.concatenate([a["ids"][i[x]], other["ids"][j[y]]])
+        root = forest(len(ids), u, v + (len(x) if b is not None else 0))
+        if b is None:
+            ids, root = ids[: len(x)], root[: len(x)]
+        found += [(int(ids[t]), int(ids[r])) for t, r in enumerate(root) if t != r]
+    return found
+
+
+def _linked(packed: DataFrame, percent: int, two: bool) -> DataFrame:
+    """u, v of forests over rows of one packed block, or of two."""
+
+    def block(batch: pa.RecordBatch, row: int, at: int) -> dict:
+        return {c: np.frombuffer(batch.column(at + n)[row].as_py(), np.int64) for n, c in enumerate(_COLUMNS)}
 
-    Long lists are dealt out in chunks of about 256 by document, so a very common token doesn't meet in one task.
-    """
-    near = Window.partitionBy("tok", "part").orderBy(F.xxhash64("id", "tok", F.lit(seed)), "id")
-    cut = posts.where("df > 4").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.greatest(F.lit(1), F.col("df") / 256).cast("int")))
-    pairs = None
-    for gap in (1, 2):
-        x = cut.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.lead("id", gap).over(near).alias("y"), F.lead("n", gap).over(near).alias("ny"), F.lead("label", gap).over(near).alias("ly"))
-        x = x.where("y is not null and lx <> ly").where(_alike(percent, "nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = x if pairs is None else pairs.unionByName(x)
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    ends = counted.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
-    best = Window.partitionBy("end").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
-    return ends.withColumn("r", F.row_number().over(best)).where(F.col("r") <= partners).select("a", "b").distinct()
-
-
-def join_classes(docs: DataFrame, classes: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int = 6) -> DataFrame | None:
-    """id, component for all ids of classes (id: one document for each distinct set) that link with another; null if none do."""
-    prefixes = stage(_prefixes(docs, k, percent, longest, counts).join(classes, "id", "left_semi"), "prefixes")
-    posts = prefixes.select("id", "n", "m", F.size("tokens").alias("p"), F.explode("tokens").alias("tok"))
-    posts = stage(posts.withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1"), "postings")
-    rows, edges, labels, named, before = posts.count(), None, None, stage(_labelled(posts, None), "labelled"), None
-    for seed in range(4):
-        left = named.groupBy("tok", "label").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        cross = left.agg(F.sum((F.col("c") * F.col("c") - F.col("s")) / 2)).first()[0] or 0
-        if cross <= 8 * rows + 1000 or before is not None and cross > 0.7 * before:
-            break
-        before = cross
-        near = stage(_neighbours(named, percent, 2 * seed), "neighbours")
-        pairs = stage(_hopeful(near, prefixes, percent), "candidates")
-        discard(near)
-        edges = _add_verified(edges, docs, pairs, k, percent)
-        if is_empty(edges):
-            break
-        old, labels = labels, components(edges)
-        discard(old, named)
-        named = stage(_labelled(posts, labels), "labelled")
-    side = lambda x: named.join(prefixes.select("id", "n", "sig", "hidden"), ["id", "n"]).select("tok", *[F.col(c).alias(c[0] + x if c != "sig" else "sig" + x) for c in ("id", "n", "m", "p", "label", "hidden", "sig")])
-    a, b = side("a").withColumnRenamed("ia", "a"), side("b").withColumnRenamed("ib", "b")
-    common = " + ".join(f"bit_count(siga[{i}] & sigb[{i}])" for i in range(SIGNATURE))
-    most = f"(least(ha, hb) + {common})"
-    cross = a.join(b, "tok").where("a < b and la <> lb").where(_alike(percent)).where(_reachable(percent).replace("shared", most))
-    cross = cross.groupBy("a", "b", "na", "nb", "ma", "mb", "pa", "pb").agg(F.count("*").alias("shared")).where(_reachable(percent))
-    pairs = stage(cross.select("a", "b").distinct(), "candidates")
-    edges = _add_verified(edges, docs, pairs, k, percent)
-    discard(named, posts, prefixes, labels)
-    out = None if is_empty(edges) else components(edges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                links = _links(block(batch, row, 0), block(batch, row, len(_COLUMNS)) if two else None, percent)
+                yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return packed.mapInArrow(run, "u long, v long")
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """a < b: blocks that hold documents of one family with a token of their prefixes in common."""
+    wide = members.groupBy("label").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("label")
+    posts = members.join(wide, "label").select("block", F.explode("tokens").alias("tok")).distinct()
+    return posts.select("tok", F.col("block").alias("a")).join(posts.select("tok", F.col("block").alias("b")), "tok").where("a < b").select("a", "b").distinct()
+
+
+def join_classes(docs: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int = 6) -> DataFrame:
+    """id, component (both classes) of all classes that link with another."""
+    candidates = _candidates(docs, counts, k, percent, longest)
+    members = _members(candidates)
+    whole = members.join(_sets(docs, members, k), "id").select("block", "id", "label", "n", "m", "p", "tokens", "set")
+    blocks = stage(whole.groupBy("block").applyInArrow(_pack, _PACKED), "blocks")
+    pairs = stage(_block_pairs(members), "block_pairs")
+    side = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in _COLUMNS])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+    edges = stage(_linked(blocks.drop("block"), percent, False).unionByName(_linked(both, percent, True)), "links")
+    discard(candidates, members, blocks, pairs)
+    out = components(edges)
     discard(edges)
     return out
 
 
+def groups(docs: DataFrame, k: int, percent: int, longest: int = 6) -> DataFrame:
+    """A row for each row of docs: doc_id, key (text_key), n, group (a class; null without words), component_id (smallest doc_id of the group)."""
+    digests = stage(_digest(docs, k), "digests")
+    each = digests.where("chunk is null").select("doc_id", "key", "n", "class")
+    linked = join_classes(docs, _sketch(digests), k, percent, longest)
+    least = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = least.join(linked.withColumnsRenamed({"id": "class", "component": "root"}), "class", "left")
+    roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
+    classes = classes.join(roots, "root", "left").select("class", F.coalesce("root", "class").alias("group"), F.coalesce("of_root", "least").alias("component_id"))
+    out = stage(each.join(classes, "class", "left").select("doc_id", "key", "n", "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "groups")
+    discard(digests, linked)
+    return out
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, longest: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Documents link when their sets of k-word shingles have 100 * intersection >= percent * union. Documents with
     equal sets are one class and join once, whatever their number. Texts without words or null link with nothing. A row whose doc_id
-    is null has a null component and takes no part. Rows that share a doc_id are one document with several texts,
-    each in the component of its own text. An empty table gives none. Shingles are told apart by 64-bit hashes.
+    is null links as any other, but its own component_id is null. Rows that share a doc_id are texts of their own,
+    each in the component of its own text. An empty table gives none; other columns aren't read. Texts of any length count whole:
+    a long document is a block of its own. Ties of tokens are ordered by hash. Shingles, and classes of equal sets, are told apart by 64-bit hashes.
     """
-    digests = stage(_digest(docs, k), "digests")
-    each = digests.where("chunk is null").select("doc_id", "n", "d1", "d2")
-    classes = stage(each.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    linked = join_classes(docs, classes.select("id"), _sketch(digests), k, percent, longest)
-    if linked is not None:
-        classes = classes.join(linked, "id", "left")
-    else:
-        classes = classes.withColumn("component", F.lit(None).cast("long"))
-    classes = classes.select("n", "d1", "d2", F.coalesce("component", "id").alias("class_id"))
-    out = each.join(classes, ["n", "d1", "d2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return groups(docs, k, percent, longest).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (any columns) without near duplicates: exactly one row of each group stays, that of the smallest doc_id.
+
+    Ties, where rows share that doc_id, go to the smallest text_key; of rows that repeat both, any one stays. A null doc_id comes after all others.
+    Rows without words link with nothing and all stay. The order of docs' rows and columns called like this operator's own don't matter.
+    """
+    found = groups(docs, k, percent).where("group is not null")
+    same = found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = found.groupBy("group").agg(least.alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.key").alias("kept_key"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    judged = stage(same.join(kept, is_kept, "left").select("doc_id", "key", F.col("kept_key").isNotNull().alias("stays"), "rows").where("not stays or rows > 1"), "judged")
+    names = {"doc_id": f"id_{uuid.uuid4().hex[:8]}", "key": f"key_{uuid.uuid4().hex[:8]}"}
+    listed = judged.withColumnsRenamed(names)
+    at = F.col("doc_id").cast("long").eqNullSafe(listed[names["doc_id"]]) & (text_key() == listed[names["key"]])
+    alone = docs.join(listed, at, "left_anti")
+    repeated = docs.join(listed.where("stays"), at, "left_semi")
+    one = repeated.withColumn(names["key"], text_key()).dropDuplicates(["doc_id", names["key"]]).drop(names["key"])
+    return alone.unionByName(one)

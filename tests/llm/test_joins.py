@@ -76,14 +76,25 @@ def test_large_family_is_merged_whole(spark, docs_of):
     assert got == want
 
 
-def test_prefix_lengthens_with_common_tokens():
+def test_prefix_lengthens_with_common_tokens(spark):
     s = op8_shingle_join.shingles(" ".join(f"a{i}" for i in range(300)), 3)
-    rare = np.ones(1 << op8_shingle_join.SKETCH_BITS, "<i4")
-    m, p = op8_shingle_join.prefix(s, rare, 0.0, 90, 6)
-    assert m == 1 and len(p) == len(s) - -(-90 * len(s) // 100) + 1
-    m, p = op8_shingle_join.prefix(s, rare * 50_000, 0.0, 90, 6)
-    assert m > 1 and len(p) == len(s) - -(-90 * len(s) // 100) + m
-    assert op8_shingle_join.prefix(op8_shingle_join.shingles("one", 3), rare, 0.0, 90, 6)[0] == 1
+    counts = np.ones(1 << op8_shingle_join.SKETCH_BITS, "<i4")
+    counts[s[:100] >> np.uint64(64 - op8_shingle_join.SKETCH_BITS)] = 1000
+    p = op8_shingle_join.prefix(s, counts, 90, 6)
+    assert len(p) == len(s) - -(-90 * len(s) // 100) + 6 and not set(p.tolist()) & set(s[:100].tolist())
+    lists = lambda c: [(i, i, c) for i in range(35)]
+    rows = spark.createDataFrame([(0, 298, lists(2)), (1, 298, lists(50_000)), (2, 1, lists(9)[:1])], "id int, n int, shared array<struct<pos:int,tok:long,c:long>>")
+    got = {r.id: r.m for r in rows.withColumn("m", F.expr(op8_shingle_join.choose_m(90, 6))).collect()}
+    assert got[0] < got[1] <= 6 and got[2] == 1
+
+
+def test_overlaps_of_sets():
+    rng = np.random.default_rng(4)
+    x, y = ([np.unique(rng.integers(-50, 50, n)) for n in sizes] for sizes in ((3, 0, 60, 9), (70, 5)))
+    want = lambda p, q: [[len(np.intersect1d(a, b)) for b in q] for a in p]
+    assert op8_shingle_join.overlaps(x, y).tolist() == want(x, y)
+    both = op8_shingle_join.overlaps(x, None)
+    assert (both - np.diag(np.diag(both))).tolist() == (np.array(want(x, x)) - np.diag([len(a) for a in x])).tolist()
 
 
 def test_rows_without_id_or_table(spark, docs_of):
@@ -289,3 +300,33 @@ def test_signatures_bound_shared_tokens():
         common = int(np.unpackbits((x & y).view("u1")).sum())
         assert len(np.intersect1d(a, b)) <= common + min(hidden_a, hidden_b)
         assert common <= 64 * op8_shingle_join.SIGNATURE and hidden_a < size
+
+
+@pytest.mark.parametrize("block, columns", [(5, 16), (256, 4096)])
+def test_families_over_several_blocks(spark, docs_of, monkeypatch, block, columns):
+    """Families larger than a block, repeated ids and texts, null ids: groups and the rows that stay are those of brute force."""
+    monkeypatch.setattr(op8_shingle_join, "BLOCK", block)
+    monkeypatch.setattr(op8_shingle_join, "COLUMNS", columns)
+    texts = [t for t in near_texts(11) if len(t) > 40][:90]
+    rows = [(None if i % 17 == 3 else i % 60, t) for i, t in enumerate(texts)]
+    rows += [(5, texts[5]), (5, "alone here with that id"), (8, texts[8]), (8, texts[8]), (70, ""), (71, None), (None, "")]
+    sets = [word_sets(t, 3) for _, t in rows]
+    group = brute_components(list(range(len(rows))), lambda a, b: bool(sets[a]) and bool(sets[b]) and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]))
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[group[i]] = min(least.get(group[i], doc_id), doc_id)
+    docs = docs_of(rows).withColumn("key", F.lit("own")).withColumn("group", F.col("doc_id")).withColumn("stays", F.lit(1))
+    key = lambda x: (x[0] is None, x)
+    want = sorted(((d, len(s), None if d is None else least.get(group[i], d)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    assert sorted(map(tuple, op8_shingle_join.near_duplicates(docs, 3, 90).collect()), key=str) == want
+    kept = op8_shingle_join.one_of_each(docs, 3, 90)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    each = {g: {(d, t) for i, (d, t) in enumerate(rows) if group[i] == g} for g in set(group.values())}
+    for g, members in each.items():
+        if sets[g]:
+            ids = [d for d, _ in members if d is not None]
+            mine = [x for x in got if x in members]
+            assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+    assert sorted(map(key, (x for x in got if not (x[1] or "").split()))) == sorted(map(key, (x for x in rows if not (x[1] or "").split())))
