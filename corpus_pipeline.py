@@ -14,8 +14,6 @@ from lumenflow.llm import op2_mixing, op3_toxicity, op4_line_chunks, op6_packing
 from lumenflow.llm.common import stage
 from lumenflow.llm.queries import table, tokenizer
 
-#: Up to so many ids of dropped documents are broadcast (8 MB); beyond, Spark chooses the join.
-BROADCAST_DROPPED = 1_000_000
 #: Share of the tokens of stage 4's input that the mix may use.
 SHARE = 0.8
 
@@ -32,11 +30,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that links of 0.8 on five-word shingles connect."""
-    found = op8_shingle_join.near_duplicates(docs, 5, 80)
-    dropped = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    small = dropped.count() <= BROADCAST_DROPPED
-    return docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row, that of the smallest doc_id, of each group that links of 0.8 on five-word shingles connect.
+
+    Rows, not ids, go: rows that share a doc_id are judged by their own texts, and repeated rows become one. A null doc_id comes after
+    all others. Texts that are null or hold no word link with nothing and stay.
+    """
+    return op8_shingle_join.one_of_each(docs, 5, 80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
