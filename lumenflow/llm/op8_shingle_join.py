@@ -1,15 +1,18 @@
 """N-gram Jaccard join by adaptive multi-match prefixes.
 
-Tokens (hashed word n-grams) are ordered globally from rare to common by a fixed-size count sketch of the whole corpus, which only
-sets the order. Two sets whose similarity reaches the threshold share at least m tokens of their prefixes when each keeps its
-size - ceil(threshold * size) + m first tokens. The longest prefixes are listed first and the exact length of each token's list is
-counted; tokens that one document alone lists go. Each document then picks its own m from these lengths: a longer prefix costs more
+Tokens (hashed word n-grams) are ordered globally from rare to common by their exact number of documents. Two sets whose similarity
+reaches the threshold share at least m tokens of their prefixes when each keeps its
+size - ceil(threshold * size) + m first tokens. Each document picks its own m from the lengths of its tokens' lists: a longer prefix costs more
 postings but lets candidates through only with m shared tokens. A pair needs the smaller of its two m, and
 enough shared tokens that with all tokens behind the prefixes it could still reach the threshold.
 
-No pair becomes a row. Documents that shared tokens connect are a family; families are put one after another, and the sequence is cut
-into blocks of bounded size. Within a block, and between blocks of one family that share a token, products of incidence
-matrices count the shared prefix tokens, then the whole sets' of those that pass; what a block or pair of blocks returns
+Texts are read once. A task cuts its documents into chunks and sends each range of hashes the chunk's tokens there, which are counted over
+all chunks. A token that only one document has is the rarest, shares nothing and goes; what comes back to a chunk are the tokens that documents
+share, with their counts. These are enough for the prefixes (those of one document stand before them), the candidates and the intersections.
+
+No pair becomes a row. Documents that shared tokens of their prefixes connect are a family; families are put one after another, and the sequence is
+cut into blocks of bounded size. Within a block, and between blocks of one family that share a token, products of incidence
+matrices count the shared prefix tokens, then all shared tokens of those that pass; what a block or pair of blocks returns
 is a spanning forest of its links.
 """
 
@@ -21,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm.common import components, discard, forest, stage, worker_cache
 
-SKETCH_BITS, CHUNKS = 22, 64
-#: Documents of a block, tokens of a block (a longer document is a block of its own), columns of a matrix.
+#: Tokens of a chunk (a longer document is a chunk of its own) and, about, of a range; from so many documents of a chunk on, a token's list stays with the chunk.
+CHUNK, RANGE, COMMON = 1 << 21, 1 << 20, 64
+#: Documents of a block, shared tokens of a block (a longer document is a block of its own), columns of a matrix.
 BLOCK, BLOCK_TOKENS, COLUMNS = 256, 400_000, 4_096
-#: log2 of the bits of the filter that spares documents without candidates the second hashing; of any size it lets too many through at worst.
-FILTER_BITS = 24
+#: Bits of a token's hash.
+BITS = 48
 
 
 class _WordHash(dict):
@@ -60,7 +65,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return np.unique(h >> np.uint64(64 - BITS))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -77,80 +82,165 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
 
 
-def _digest(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, key of its text, n, class) and, per task, the chunks of its count sketch."""
+def squeeze(a: np.ndarray) -> bytes:
+    """An array's bytes, those of equal weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view("u1").reshape(len(a), a.itemsize).T).tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["doc_id", "key", "n", "class", "chunk", "counts"]
-        for batch in batches:
-            out, held, waiting = [], [], 0
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k)
-                out.append((len(s), _class_of(s) if len(s) else None))
-                held.append(s >> np.uint64(64 - SKETCH_BITS))
-                waiting += len(s)
-                if waiting > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                    held, waiting = [], 0
-            if held:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.int32)
-            cols = [batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in list(zip(*out)) or [()] * 2)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names=names)
-        if counts.any():
-            for c, part in enumerate(np.split(counts, CHUNKS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.array([c], pa.int32()), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=names)
-
-    return _texts(docs).withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, n long, class long, chunk int, counts binary")
-
-
-def _sketch(digests: DataFrame) -> np.ndarray:
-    """Token counts by hash bucket over the whole corpus; its size is fixed (2 ** SKETCH_BITS)."""
-    size = (1 << SKETCH_BITS) // CHUNKS
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if c not in total:
-                    total[c] = np.zeros(size, np.int64)
-                total[c] += np.frombuffer(raw.as_py(), "<i4")
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in total.values()], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    some = digests.where("chunk is not null").select("chunk", "counts")
-    out = np.zeros((CHUNKS, size), "<i4")
-    for row in some.repartition(CHUNKS, "chunk").mapInArrow(add, schema).collect():
-        out[row.chunk] = np.frombuffer(row.counts, "<i4")
-    return out.reshape(-1)
-
-
-def prefix(s: np.ndarray, counts: np.ndarray, percent: int, longest: int) -> np.ndarray:
-    """The longest prefix that any m up to longest asks for: a set's first tokens in the global order, in this order."""
-    n = len(s)
-    take = min(n - -(-percent * n // 100) + longest, n)
-    step = np.minimum(np.log2(counts[s >> np.uint64(64 - SKETCH_BITS)] + 1.0) * 8, 255).astype(np.uint64)  # coarse, then by the hash
-    key = step << np.uint64(56) | s >> np.uint64(8)
-    order = np.argpartition(key, take - 1)[:take] if take < n else np.arange(n)
-    return s[order[np.lexsort((s[order], key[order]))]]
-
-
-def _prefixes(docs: DataFrame, k: int, percent: int, longest: int, counts: np.ndarray) -> DataFrame:
-    """id (the class), doc (its smallest doc_id), n, tokens (the longest prefix) of each class."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _rising(values: np.ndarray) -> bytes:
+    return squeeze(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, "<u8"), dtype=np.uint64)
+
+
+#: A chunk's share of a range: distinct tokens, how many documents' numbers follow for each, these numbers. Or what the chunk keeps: its common tokens, and its documents.
+_SHARE = [("chunk", pa.int64()), ("part", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())]
+_OWN = [("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("classes", pa.list_(pa.int64()))]
+_SENT = pa.schema([("to", pa.int64()), *_SHARE, *_OWN])
+_BACK = pa.schema([*_SHARE, ("totals", pa.binary()), *_OWN])
+_SENT_SQL = "to long, chunk long, part long, tokens binary, counts binary, places binary, ids array<long>, keys array<long>, sizes array<long>, classes array<long>"
+_BACK_SQL = "chunk long, part long, tokens binary, counts binary, places binary, totals binary, ids array<long>, keys array<long>, sizes array<long>, classes array<long>"
+
+
+def _chunk_rows(chunk: int, docs: dict[str, list], sets: list[np.ndarray], places: list[int], ranges: int) -> pa.RecordBatch:
+    """The rows that a chunk sends: one for each range, to be counted, and one that only passes through, for itself."""
+    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    place = np.repeat(np.array(places, np.uint32), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, place = values[order], place[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
+    counts = np.diff(np.r_[starts, len(values)]).astype(np.uint32)
+    tokens = values[starts]
+    common = np.repeat(counts >= COMMON, counts)
+    cut = np.searchsorted(tokens, (np.arange(ranges + 1, dtype=object) * (1 << BITS) // ranges).astype(np.uint64))
+    rows: dict[str, list] = {f.name: [] for f in _SENT}
+
+    def row(**cells) -> None:
+        for name in rows:
+            rows[name].append(cells.get(name))
+
+    for r in range(ranges):
+        lo, hi = cut[r], cut[r + 1]
+        if lo < hi:
+            a, b = starts[lo], starts[hi] if hi < len(starts) else len(values)
+            few = np.where(counts[lo:hi] >= COMMON, 0, counts[lo:hi]).astype("<u4")
+            row(to=r, chunk=chunk, part=r, tokens=_rising(tokens[lo:hi]), counts=squeeze(few), places=squeeze(place[a:b][~common[a:b]].astype("<u4")))
+    kept = counts >= COMMON
+    row(to=ranges + chunk % ranges, chunk=chunk, part=-1, tokens=_rising(tokens[kept]), counts=squeeze(counts[kept].astype("<u4")), places=squeeze(place[common].astype("<u4")), **docs)
+    return pa.RecordBatch.from_pydict(rows, schema=_SENT)
+
+
+def _send(docs: DataFrame, k: int, ranges: int) -> DataFrame:
+    """Every text's set, in shares of chunks. A task sends equal sets (a class) once; their other documents aren't listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        from pyspark import TaskContext
+
+        number, seen = TaskContext.get().partitionId() << 24, set()
+        fresh = lambda: ({f: [] for f in ("ids", "keys", "sizes", "classes")}, [], [])
+        (about, sets, places), held = fresh(), 0
         for batch in batches:
-            ids, names, sizes, tokens = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), k)
-                if len(s):
-                    ids.append(_class_of(s)), names.append(doc_id), sizes.append(len(s)), tokens.append(prefix(s, table, percent, longest).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "doc": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
-
-    rows = _texts(docs).mapInArrow(run, "id long, doc long, n int, tokens array<long>")
-    return rows.groupBy("id").agg(F.min("doc").alias("doc"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+                name = _class_of(s) if len(s) else None
+                new = name is not None and name not in seen
+                if new:
+                    seen.add(name)
+                    if sets and held + len(s) > CHUNK:
+                        yield _chunk_rows(number, about, sets, places, ranges)
+                        (about, sets, places), held, number = fresh(), 0, number + 1
+                    sets.append(s), places.append(len(about["ids"]))
+                    held += len(s)
+                for f, v in zip(about, (doc_id, key, len(s), name)):
+                    about[f].append(v)
+                if len(about["ids"]) >= CHUNK // 8:
+                    yield _chunk_rows(number, about, sets, places, ranges)
+                    (about, sets, places), held, number = fresh(), 0, number + 1
+        if about["ids"]:
+            yield _chunk_rows(number, about, sets, places, ranges)
+
+    return _texts(docs).withColumn("key", text_key()).mapInArrow(run, _SENT_SQL)
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """For a range, each chunk's tokens that more than one listed document has, with how many have them (totals); a chunk's own rows as they are."""
+    rows, shares = {f.name: [] for f in _BACK}, []
+    for r in t.drop_columns(["to"]).to_pylist():
+        if r["part"] < 0:
+            for name in rows:
+                rows[name].append(r.get(name))
+        else:
+            shares.append((r, _risen(r["tokens"]), unsqueeze(r["counts"], "<u4"), unsqueeze(r["places"], "<u4")))
+    if shares:
+        tokens, at = np.unique(np.concatenate([x[1] for x in shares]), return_inverse=True)
+        totals = np.bincount(at, np.concatenate([np.where(x[2] == 0, COMMON, x[2]) for x in shares]), len(tokens)).astype(np.uint32)
+        end = 0
+        for r, mine, counts, places in shares:
+            total = totals[at[end : end + len(mine)]]
+            end += len(mine)
+            keep = total > 1
+            if not keep.any():
+                continue
+            cells = {"chunk": r["chunk"], "part": r["part"], "tokens": _rising(mine[keep]), "counts": squeeze(counts[keep]), "places": squeeze(places[np.repeat(keep, counts)]), "totals": squeeze(total[keep])}
+            for name in rows:
+                rows[name].append(cells.get(name))
+    return pa.Table.from_pydict(rows, schema=_BACK)
+
+
+def _prefix_length(n: np.ndarray, percent: int, longest: int) -> np.ndarray:
+    """Tokens of the longest prefix that any m up to longest asks for."""
+    return np.minimum(n - -(-percent * n // 100) + longest, n)
+
+
+def _regroup(percent: int, longest: int):
+    def run(t: pa.Table) -> pa.Table:
+        """A chunk's documents; those that list shared tokens in their longest prefix with all their shared tokens, in the global order (total, then hash)."""
+        own, tokens, totals, places = None, [], [], []
+        for r in t.sort_by("part").to_pylist():
+            if r["part"] < 0:
+                own = r
+                continue
+            counts = unsqueeze(r["counts"], "<u4")
+            mine, total = _risen(r["tokens"]), unsqueeze(r["totals"], "<u4")
+            tokens.append(np.repeat(mine, counts)), totals.append(np.repeat(total, counts)), places.append(unsqueeze(r["places"], "<u4"))
+            if (counts == 0).any():
+                tokens.append(mine[counts == 0]), totals.append(total[counts == 0]), places.append(None)
+        common, times, where = _risen(own["tokens"]), unsqueeze(own["counts"], "<u4"), unsqueeze(own["places"], "<u4")
+        starts = np.cumsum(np.r_[0, times])
+        for i, p in enumerate(places):
+            if p is None:  # a common token's list is the chunk's own
+                at = np.searchsorted(common, tokens[i])
+                totals[i], tokens[i] = np.repeat(totals[i], times[at]), np.repeat(tokens[i], times[at])
+                places[i] = np.concatenate([where[starts[j] : starts[j + 1]] for j in at])
+        n = np.array(own["sizes"], np.int64)
+        out: list = [None] * len(n)
+        if tokens:
+            token, total, place = np.concatenate(tokens), np.concatenate(totals), np.concatenate(places)
+            order = np.lexsort((token, total, place))
+            token, place = token[order], place[order]
+            docs, first = np.unique(place, return_index=True)
+            ends = np.r_[first[1:], len(place)]
+            hopeful = n[docs] - (ends - first) < _prefix_length(n[docs], percent, longest)
+            for d, a, b in zip(docs[hopeful], first[hopeful], ends[hopeful]):
+                out[d] = token[a:b].view(np.int64)
+        return pa.table({"doc_id": pa.array(own["ids"], pa.int64()), "key": pa.array(own["keys"], pa.int64()), "n": pa.array(own["sizes"], pa.int64()), "class": pa.array(own["classes"], pa.int64()), "tokens": pa.array(out, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _digests(docs: DataFrame, k: int, percent: int, longest: int) -> DataFrame:
+    """doc_id, key of its text, n, class (null without words) of each row of docs; tokens: the shared ones, where the longest prefix has some."""
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * RANGE)))
+    counted = _send(docs, k, ranges).groupBy("to").applyInArrow(_count, _BACK_SQL)
+    return stage(counted.groupBy("chunk").applyInArrow(_regroup(percent, longest), "doc_id long, key long, n long, class long, tokens array<long>"), "digests")
 
 
 def choose_m(percent: int, longest: int) -> str:
@@ -161,36 +251,39 @@ def choose_m(percent: int, longest: int) -> str:
     """
     base = f"(n - cast(ceil({percent}L * n / 100D) as int))"
     reach = f"aggregate(shared, 0D, (t, x) -> t + if(x.pos < {base} + m, x.c - 1, 0))"
-    costs = f"transform(sequence(1, least({longest}, n - {base})), m -> named_struct('cost', {reach} * (1 + (4 + n / 64D) / m) + 8 * m, 'm', m))"
+    costs = f"transform(sequence(1, least({longest}, cast(n as int) - cast({base} as int))), m -> named_struct('cost', {reach} * (1 + (4 + n / 64D) / m) + 8 * m, 'm', m))"
     return f"array_min({costs}).m"
 
 
-def _candidates(docs: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int) -> DataFrame:
-    """id, doc, n, m, p (length of the prefix), tokens (those of the prefix that other documents list too) of documents that have such tokens."""
-    prefixes = stage(_prefixes(docs, k, percent, longest, counts), "prefixes")
-    posts = prefixes.select("id", F.posexplode("tokens").alias("pos", "tok"))
+def _candidates(digests: DataFrame, percent: int, longest: int) -> DataFrame:
+    """id (class), n, m, p (length of the prefix), prefix (its tokens that other classes list too), tokens (all shared ones) of classes with such tokens."""
+    each = digests.where("tokens is not null").groupBy(F.col("class").alias("id")).agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    each = stage(each, "shared")
+    base = f"(n - cast(ceil({percent}L * n / 100D) as bigint))"
+    posts = each.select("id", F.expr("n - size(tokens)").alias("before"), F.posexplode(F.expr(f"slice(tokens, 1, cast(least({base} + {longest}, n) - (n - size(tokens)) as int))")).alias("at", "tok"))
+    posts = posts.select("id", (F.col("before") + F.col("at")).alias("pos"), "tok")
     lists = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     shared = posts.join(lists, "tok").groupBy("id").agg(F.collect_list(F.struct("pos", "tok", "c")).alias("shared"))
-    chosen = shared.join(prefixes.select("id", "doc", "n"), "id").withColumn("m", F.expr(choose_m(percent, longest)))
-    chosen = chosen.withColumn("p", F.expr(f"n - cast(ceil({percent}L * n / 100D) as int) + m"))
-    out = stage(chosen.select("id", "doc", "n", "m", "p", F.expr("transform(filter(shared, x -> x.pos < p), x -> x.tok)").alias("tokens")).where("size(tokens) > 0"), "candidates")
-    discard(prefixes)
+    chosen = shared.join(each, "id").withColumn("m", F.expr(choose_m(percent, longest))).withColumn("p", F.expr(f"{base} + m"))
+    chosen = chosen.withColumn("prefix", F.expr("transform(filter(shared, x -> x.pos < p), x -> x.tok)"))
+    out = stage(chosen.select("id", "n", "m", "p", "prefix", "tokens").where("size(prefix) > 0"), "candidates")
+    discard(each)
     return out
 
 
 def _families(candidates: DataFrame) -> DataFrame:
     """id, label: candidates that tokens of their prefixes connect have one label; those that nothing connects are left out."""
-    posts = candidates.select("id", F.explode("tokens").alias("tok"))
-    first = posts.groupBy("tok").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").select("tok", "first")
-    return components(posts.join(first, "tok").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))).withColumnRenamed("component", "label")
+    posts = candidates.select("id", F.explode("prefix").alias("tok"))
+    first = posts.groupBy("tok").agg(F.min("id").alias("first"))
+    return components(posts.join(first, "tok").select(F.col("id").alias("u"), F.col("first").alias("v"))).withColumnRenamed("component", "label")
 
 
 def _members(candidates: DataFrame) -> DataFrame:
     """Candidates with label and block: families one after another, a family's documents by their smallest token, in blocks of bounded size."""
     families = _families(candidates)
-    rows = candidates.join(families, "id").withColumn("lead", F.array_min("tokens")).repartitionByRange("label", "lead", "id")
+    rows = candidates.join(families, "id").withColumn("lead", F.array_min("prefix")).repartitionByRange("label", "lead", "id")
     dealt = stage(rows.withColumn("part", F.spark_partition_id()), "dealt")  # written once, so that counts and places are of the same parts
-    weight = F.greatest(F.lit(1 / BLOCK), F.col("n") / BLOCK_TOKENS)
+    weight = F.greatest(F.lit(1 / BLOCK), F.size("tokens") / BLOCK_TOKENS)
     totals = dealt.groupBy("part").agg(F.sum(weight).alias("w"))
     before = totals.select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("before"))  # a row for each part
     place = F.sum(weight).over(Window.partitionBy("part").orderBy("label", "lead", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - weight
@@ -200,43 +293,18 @@ def _members(candidates: DataFrame) -> DataFrame:
     return out
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column doc with four bits each, in 2 ** FILTER_BITS bits however many there are."""
-    bits = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc", F.lit(i)), F.lit(1 << FILTER_BITS)) for i in range(4)])).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words.collect():  # 2 ** 18 rows at most
-        out[row.word] = row.w
-    return out
-
-
-def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """id, set (bytes) of the classes that members names, and of some that the filter lets through besides."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(members.select("doc")))
-    hashes = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(1 << FILTER_BITS)) for i in range(4)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        for batch in batches:
-            bits = batch.column(2).flatten().to_numpy().reshape(-1, 4)
-            keep = ((words[bits >> 6] >> (bits & 63)) & 1).all(1)
-            sets = [shingles(batch.column(1)[int(i)].as_py(), k) for i in np.flatnonzero(keep)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(map(_class_of, sets), pa.int64()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    return _texts(docs).withColumn("bits", hashes).mapInArrow(run, "id long, set binary").groupBy("id").agg(F.any_value("set").alias("set"))
-
-
-_COLUMNS = ("ids", "labels", "n", "m", "p", "ends", "tokens", "set_ends", "sets")
+_COLUMNS = ("ids", "labels", "n", "m", "p", "prefix_ends", "prefixes", "set_ends", "sets")
 _PACKED = "block long, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
 def _pack(t: pa.Table) -> pa.Table:
     """The members of a block as one row of arrays."""
     t = t.sort_by([("label", "ascending"), ("id", "ascending")])
-    tokens, sets = t["tokens"].combine_chunks(), t["set"].to_pylist()
-    ends = np.cumsum([len(x) for x in tokens])
-    got = (t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy().astype("i8"), t["m"].to_numpy().astype("i8"), t["p"].to_numpy().astype("i8"), ends.astype("i8"), tokens.flatten().to_numpy().astype("i8"), np.cumsum([len(x) // 8 for x in sets]).astype("i8"))
-    return pa.table({"block": t["block"].slice(0, 1)} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(_COLUMNS, got)} | {"sets": pa.array([b"".join(sets)], pa.binary())})
+    got = [t[c].to_numpy().astype("i8") for c in ("id", "label", "n", "m", "p")]
+    for c in ("prefix", "tokens"):
+        lists = t[c].combine_chunks()
+        got += [np.cumsum(lists.value_lengths().to_numpy()).astype("i8"), lists.flatten().to_numpy().astype("i8")]
+    return pa.table({"block": t["block"].slice(0, 1)} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(_COLUMNS, got)})
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
@@ -285,7 +353,7 @@ def _links(a: dict, b: dict | None, percent: int) -> list[tuple[int, int]]:
         if b is None and len(i) < 2:
             continue
         rows = lambda d, at, ends, values: [d[values][(d[ends][x - 1] if x else 0) : d[ends][x]] for x in at]
-        shared = overlaps(rows(a, i, "ends", "tokens"), None if b is None else rows(other, j, "ends", "tokens"))
+        shared = overlaps(rows(a, i, "prefix_ends", "prefixes"), None if b is None else rows(other, j, "prefix_ends", "prefixes"))
         na, nb = a["n"][i][:, None], other["n"][j][None, :]
         pa_, pb = a["p"][i][:, None], other["p"][j][None, :]
         # the prefix that ends earlier in the global order leaves out its set's other tokens and no more, so at most these are shared besides
@@ -328,16 +396,15 @@ def _linked(packed: DataFrame, percent: int, two: bool) -> DataFrame:
 def _block_pairs(members: DataFrame) -> DataFrame:
     """a < b: blocks that hold documents of one family with a token of their prefixes in common."""
     wide = members.groupBy("label").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("label")
-    posts = members.join(wide, "label").select("block", F.explode("tokens").alias("tok")).distinct()
+    posts = members.join(wide, "label").select("block", F.explode("prefix").alias("tok")).distinct()
     return posts.select("tok", F.col("block").alias("a")).join(posts.select("tok", F.col("block").alias("b")), "tok").where("a < b").select("a", "b").distinct()
 
 
-def join_classes(docs: DataFrame, counts: np.ndarray, k: int, percent: int, longest: int = 6) -> DataFrame:
+def join_classes(digests: DataFrame, percent: int, longest: int = 6) -> DataFrame:
     """id, component (both classes) of all classes that link with another."""
-    candidates = _candidates(docs, counts, k, percent, longest)
+    candidates = _candidates(digests, percent, longest)
     members = _members(candidates)
-    whole = members.join(_sets(docs, members, k), "id").select("block", "id", "label", "n", "m", "p", "tokens", "set")
-    blocks = stage(whole.groupBy("block").applyInArrow(_pack, _PACKED), "blocks")
+    blocks = stage(members.groupBy("block").applyInArrow(_pack, _PACKED), "blocks")
     pairs = stage(_block_pairs(members), "block_pairs")
     side = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in _COLUMNS])
     both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
@@ -350,9 +417,9 @@ def join_classes(docs: DataFrame, counts: np.ndarray, k: int, percent: int, long
 
 def groups(docs: DataFrame, k: int, percent: int, longest: int = 6) -> DataFrame:
     """A row for each row of docs: doc_id, key (text_key), n, group (a class; null without words), component_id (smallest doc_id of the group)."""
-    digests = stage(_digest(docs, k), "digests")
-    each = digests.where("chunk is null").select("doc_id", "key", "n", "class")
-    linked = join_classes(docs, _sketch(digests), k, percent, longest)
+    digests = _digests(docs, k, percent, longest)
+    each = digests.select("doc_id", "key", "n", "class")
+    linked = join_classes(digests, percent, longest)
     least = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = least.join(linked.withColumnsRenamed({"id": "class", "component": "root"}), "class", "left")
     roots = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
@@ -369,7 +436,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, longest: int
     equal sets are one class and join once, whatever their number. Texts without words or null link with nothing. A row whose doc_id
     is null links as any other, but its own component_id is null. Rows that share a doc_id are texts of their own,
     each in the component of its own text. An empty table gives none; other columns aren't read. Texts of any length count whole:
-    a long document is a block of its own. Ties of tokens are ordered by hash. Shingles, and classes of equal sets, are told apart by 64-bit hashes.
+    a long document is a block of its own. Ties of tokens are ordered by hash. Shingles are told apart by 48-bit hashes,
+    classes of equal sets by 64 bits. A task that is repeated must meet the rows of docs in the same order, as from files.
     """
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return groups(docs, k, percent, longest).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,17 +78,31 @@ def test_large_family_is_merged_whole(spark, docs_of):
 
 
 def test_prefix_lengthens_with_common_tokens(spark):
-    s = op8_shingle_join.shingles(" ".join(f"a{i}" for i in range(300)), 3)
-    counts = np.ones(1 << op8_shingle_join.SKETCH_BITS, "<i4")
-    counts[s[:100] >> np.uint64(64 - op8_shingle_join.SKETCH_BITS)] = 1000
-    p = op8_shingle_join.prefix(s, counts, 90, 6)
-    assert len(p) == len(s) - -(-90 * len(s) // 100) + 6 and not set(p.tolist()) & set(s[:100].tolist())
     lists = lambda c: [(i, i, c) for i in range(35)]
-    rows = spark.createDataFrame([(0, 298, lists(2)), (1, 298, lists(50_000)), (2, 1, lists(9)[:1])], "id int, n int, shared array<struct<pos:int,tok:long,c:long>>")
+    rows = spark.createDataFrame([(0, 298, lists(2)), (1, 298, lists(50_000)), (2, 1, lists(9)[:1])], "id int, n long, shared array<struct<pos:long,tok:long,c:long>>")
     got = {r.id: r.m for r in rows.withColumn("m", F.expr(op8_shingle_join.choose_m(90, 6))).collect()}
     assert got[0] < got[1] <= 6 and got[2] == 1
 
 
+@pytest.mark.parametrize("chunk, common", [(1 << 21, 64), (300, 2), (40, 3)])
+def test_shared_tokens_come_back_in_order(spark, docs_of, monkeypatch, chunk, common):
+    """Chunks of any size return each class's shared tokens, rarest first."""
+    monkeypatch.setattr(op8_shingle_join, "CHUNK", chunk)
+    monkeypatch.setattr(op8_shingle_join, "COMMON", common)
+    rows = list(enumerate([*near_texts(3)[:70], "", None]))
+    got = op8_shingle_join._digests(docs_of(rows).coalesce(1), 3, 90, 6).collect()
+    sets = {i: op8_shingle_join.shingles(t, 3) for i, t in rows}
+    df = Counter(t for s in {s.tobytes(): s for s in sets.values()}.values() for t in s.tolist())
+    seen = set()
+    assert sorted(r.doc_id for r in got) == list(range(72))
+    for r in sorted(got, key=lambda r: r.doc_id):
+        s = sets[r.doc_id].tolist()
+        want = sorted((t for t in s if df[t] > 1), key=lambda t: (df[t], t))
+        hopeful = want and len(s) - len(want) < len(s) - -(-90 * len(s) // 100) + 6 and r["class"] not in seen
+        seen.add(r["class"])
+        assert r.n == len(s) and (r.tokens or []) == (want if hopeful else [])
+
+
 def test_overlaps_of_sets():
     rng = np.random.default_rng(4)
     x, y = ([np.unique(rng.integers(-50, 50, n)) for n in sizes] for sizes in ((3, 0, 60, 9), (70, 5)))
@@ -291,17 +306,6 @@ def test_traversal_takes_pairs_in_order():
     assert taken.sum() == 30 and sums[taken].max() <= sums[~taken].min()
 
 
-def test_signatures_bound_shared_tokens():
-    rng = np.random.default_rng(3)
-    for size in (5, 40, 400, 3000):
-        pool = rng.integers(0, 2**63, 2 * size).astype(np.uint64)
-        a, b = rng.choice(pool, size, replace=False), rng.choice(pool, size, replace=False)
-        (x, hidden_a), (y, hidden_b) = op8_shingle_join.signature(a), op8_shingle_join.signature(b)
-        common = int(np.unpackbits((x & y).view("u1")).sum())
-        assert len(np.intersect1d(a, b)) <= common + min(hidden_a, hidden_b)
-        assert common <= 64 * op8_shingle_join.SIGNATURE and hidden_a < size
-
-
 @pytest.mark.parametrize("block, columns", [(5, 16), (256, 4096)])
 def test_families_over_several_blocks(spark, docs_of, monkeypatch, block, columns):
     """Families larger than a block, repeated ids and texts, null ids: groups and the rows that stay are those of brute force."""
