@@ -243,31 +243,39 @@ def _digests(docs: DataFrame, k: int, percent: int, longest: int) -> DataFrame:
     return stage(counted.groupBy("chunk").applyInArrow(_regroup(percent, longest), "doc_id long, key long, n long, class long, tokens array<long>"), "digests")
 
 
-def choose_m(percent: int, longest: int) -> str:
-    """SQL: the number of shared tokens to ask for, from n and shared (pos, tok, c: the length of the token's list).
+def reaches(longest: int) -> list[Column]:
+    """reach_m for each m: the postings that a prefix of base + m tokens meets besides its own, from rows (pos, base, c: the length of the token's list)."""
+    return [F.sum(F.when(F.col("pos") < F.col("base") + m, F.col("c") - 1).otherwise(0)).alias(f"reach_{m}") for m in range(1, longest + 1)]
+
+
+def choose_m(longest: int) -> Column:
+    """The number of shared tokens to ask for, from n, base and the reaches.
 
     For each m the cost is that of reading the prefix's postings and of verifying the candidates that may share m of its
     tokens: the postings' total divided by m, each as long as this set. Ties go to the smaller m.
     """
-    base = f"(n - cast(ceil({percent}L * n / 100D) as int))"
-    reach = f"aggregate(shared, 0D, (t, x) -> t + if(x.pos < {base} + m, x.c - 1, 0))"
-    costs = f"transform(sequence(1, least({longest}, cast(n as int) - cast({base} as int))), m -> named_struct('cost', {reach} * (1 + (4 + n / 64D) / m) + 8 * m, 'm', m))"
-    return f"array_min({costs}).m"
+    cost = lambda m: F.col(f"reach_{m}") * (1 + (4 + F.col("n") / 64) / m) + 8 * m
+    return F.array_min(F.array(*[F.when(F.col("n") - F.col("base") >= m, F.struct(cost(m).alias("cost"), F.lit(m).alias("m"))) for m in range(1, longest + 1)]))["m"]
 
 
-def _candidates(digests: DataFrame, percent: int, longest: int) -> DataFrame:
-    """id (class), n, m, p (length of the prefix), prefix (its tokens that other classes list too), tokens (all shared ones) of classes with such tokens."""
+def _classes(digests: DataFrame) -> DataFrame:
+    """id, n, tokens of each class whose longest prefix has shared tokens."""
     each = digests.where("tokens is not null").groupBy(F.col("class").alias("id")).agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
-    each = stage(each, "shared")
-    base = f"(n - cast(ceil({percent}L * n / 100D) as bigint))"
-    posts = each.select("id", F.expr("n - size(tokens)").alias("before"), F.posexplode(F.expr(f"slice(tokens, 1, cast(least({base} + {longest}, n) - (n - size(tokens)) as int))")).alias("at", "tok"))
-    posts = posts.select("id", (F.col("before") + F.col("at")).alias("pos"), "tok")
+    return stage(each, "shared")
+
+
+def _candidates(classes: DataFrame, percent: int, longest: int) -> DataFrame:
+    """id (class), n, size (of its tokens), m, p (length of the prefix), prefix (its tokens that other classes list too) of classes with such tokens."""
+    base = F.col("n") - F.ceil(percent * F.col("n") / 100).cast("long")
+    rows = classes.select("id", "n", F.size("tokens").alias("size"), base.alias("base"), "tokens").withColumn("unique", F.col("n") - F.col("size"))
+    part = F.slice("tokens", F.lit(1), (F.least(F.col("base") + longest, "n") - F.col("unique")).cast("int"))
+    posts = rows.select("id", "n", "size", "base", "unique", F.posexplode(part).alias("at", "tok")).withColumn("pos", F.col("unique") + F.col("at")).drop("unique", "at")
     lists = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-    shared = posts.join(lists, "tok").groupBy("id").agg(F.collect_list(F.struct("pos", "tok", "c")).alias("shared"))
-    chosen = shared.join(each, "id").withColumn("m", F.expr(choose_m(percent, longest))).withColumn("p", F.expr(f"{base} + m"))
-    chosen = chosen.withColumn("prefix", F.expr("transform(filter(shared, x -> x.pos < p), x -> x.tok)"))
-    out = stage(chosen.select("id", "n", "m", "p", "prefix", "tokens").where("size(prefix) > 0"), "candidates")
-    discard(each)
+    shared = posts.join(lists, "tok").groupBy("id", "n", "size", "base").agg(F.collect_list(F.struct("pos", "tok")).alias("shared"), *reaches(longest))
+    chosen = stage(shared.select("id", "n", "size", "base", choose_m(longest).alias("m"), "shared").withColumn("p", F.col("base") + F.col("m")), "chosen")
+    prefix = F.transform(F.filter("shared", lambda x: x.pos < F.col("p")), lambda x: x.tok)
+    out = stage(chosen.select("id", "n", "size", "m", "p", prefix.alias("prefix")).where("size(prefix) > 0"), "candidates")
+    discard(chosen)
     return out
 
 
@@ -283,7 +291,7 @@ def _members(candidates: DataFrame) -> DataFrame:
     families = _families(candidates)
     rows = candidates.join(families, "id").withColumn("lead", F.array_min("prefix")).repartitionByRange("label", "lead", "id")
     dealt = stage(rows.withColumn("part", F.spark_partition_id()), "dealt")  # written once, so that counts and places are of the same parts
-    weight = F.greatest(F.lit(1 / BLOCK), F.size("tokens") / BLOCK_TOKENS)
+    weight = F.greatest(F.lit(1 / BLOCK), F.col("size") / BLOCK_TOKENS)
     totals = dealt.groupBy("part").agg(F.sum(weight).alias("w"))
     before = totals.select("part", (F.sum("w").over(Window.orderBy("part")) - F.col("w")).alias("before"))  # a row for each part
     place = F.sum(weight).over(Window.partitionBy("part").orderBy("label", "lead", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - weight
@@ -402,14 +410,15 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
 def join_classes(digests: DataFrame, percent: int, longest: int = 6) -> DataFrame:
     """id, component (both classes) of all classes that link with another."""
-    candidates = _candidates(digests, percent, longest)
+    classes = _classes(digests)
+    candidates = _candidates(classes, percent, longest)
     members = _members(candidates)
-    blocks = stage(members.groupBy("block").applyInArrow(_pack, _PACKED), "blocks")
+    blocks = stage(members.join(classes.select("id", "tokens"), "id").groupBy("block").applyInArrow(_pack, _PACKED), "blocks")
     pairs = stage(_block_pairs(members), "block_pairs")
     side = lambda x: blocks.select(F.col("block").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in _COLUMNS])
     both = pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
     edges = stage(_linked(blocks.drop("block"), percent, False).unionByName(_linked(both, percent, True)), "links")
-    discard(candidates, members, blocks, pairs)
+    discard(classes, candidates, members, blocks, pairs)
     out = components(edges)
     discard(edges)
     return out

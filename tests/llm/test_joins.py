@@ -78,10 +78,10 @@ def test_large_family_is_merged_whole(spark, docs_of):
 
 
 def test_prefix_lengthens_with_common_tokens(spark):
-    lists = lambda c: [(i, i, c) for i in range(35)]
-    rows = spark.createDataFrame([(0, 298, lists(2)), (1, 298, lists(50_000)), (2, 1, lists(9)[:1])], "id int, n long, shared array<struct<pos:long,tok:long,c:long>>")
-    got = {r.id: r.m for r in rows.withColumn("m", F.expr(op8_shingle_join.choose_m(90, 6))).collect()}
-    assert got[0] < got[1] <= 6 and got[2] == 1
+    rows = [(0, 298, 29, i, 2) for i in range(35)] + [(1, 298, 29, i, 50_000) for i in range(35)] + [(2, 1, 0, 0, 9)] + [(3, 298, 29, i, 50_000 if i > 30 else 2) for i in range(35)]
+    reach = spark.createDataFrame(rows, "id int, n long, base long, pos long, c long").groupBy("id", "n", "base").agg(*op8_shingle_join.reaches(6))
+    got = {r.id: r.m for r in reach.withColumn("m", op8_shingle_join.choose_m(6)).collect()}
+    assert got[0] < got[1] <= 6 and got[2] == 1 and got[3] == 2
 
 
 @pytest.mark.parametrize("chunk, common", [(1 << 21, 64), (300, 2), (40, 3)])
