@@ -24,8 +24,7 @@ def generate(a: argparse.Namespace) -> None:
         tables.write_table(df, f"{a.out}/{name}.parquet")
     start = int(dt.datetime.fromisoformat(a.start).replace(tzinfo=dt.UTC).timestamp() * 1000)
     events = stream.events(spark, stream.StreamShape(start_ms=start, minutes=a.minutes, users=a.users, videos=a.videos, seed=a.seed))
-    hours = [r.h for r in events.select(F.date_format(F.timestamp_millis("event_timestamp"), "yyyyMMddHH").alias("h")).distinct().collect()]
-    avro_ocf.write_hourly(events, f"{a.out}/events", hours)
+    avro_ocf.write_hourly(events, f"{a.out}/events")
 
 
 def ingest(a: argparse.Namespace) -> None:

@@ -5,6 +5,7 @@ Draws hash a seed and the row's key rather than use rand(), so a retried task or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,16 +40,38 @@ def zipf_weights(spark: SparkSession, n: int, skew: float) -> DataFrame:
     return rows.withColumn("upto", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
 
 
+#: Ranks whose cumulated weights are listed one by one; beyond, their sum follows an asymptotic series to about 1e-12.
+_LISTED = 32
+
+
+def _harmonic(x: Column, skew: float, constant: float) -> Column:
+    """The sum of k ** -skew for k up to x, x over _LISTED, by the Euler-Maclaurin series."""
+    main = F.log(x) if abs(skew - 1) < 1e-9 else F.pow(x, F.lit(1 - skew)) / (1 - skew)
+    return F.lit(constant) + main + F.pow(x, F.lit(-skew)) / 2 - F.pow(x, F.lit(-skew - 1)) * (skew / 12)
+
+
 def zipf_rank(u: Column, n: int, skew: float) -> Column:
-    """A rank from 1 to n for a uniform draw, by the continuous inverse of the Zipf distribution: no table, no join."""
+    """A rank from 1 to n for a uniform draw, by weight rank ** -skew: the first whose cumulated weight exceeds the draw. No table, no join."""
     if n <= 0 or skew < 0:
         raise ValueError("n must be positive and skew not negative")
-    if abs(skew - 1) < 1e-9:
-        x = F.pow(F.lit(float(n + 1)), u)
-    else:
-        a = 1 - skew
-        x = F.pow(u * ((n + 1) ** a - 1) + 1, F.lit(1 / a))
-    return F.least(F.floor(x), F.lit(n)).cast("long")
+    sums, listed = [], min(n, _LISTED)
+    for k in range(1, listed + 1):
+        sums.append((sums[-1] if sums else 0.0) + k**-skew)
+    main = lambda x: math.log(x) if abs(skew - 1) < 1e-9 else x ** (1 - skew) / (1 - skew)
+    series = lambda x: main(x) + x**-skew / 2 - x ** (-skew - 1) * (skew / 12)
+    constant = sums[-1] - series(listed)
+    total = sums[-1] if n == listed else constant + series(n)
+    target = u * F.lit(total)
+    small = F.size(F.filter(F.array(*[F.lit(x) for x in sums[:-1]]).cast("array<double>"), lambda x: x <= target)) + 1
+    if n == listed:
+        return small.cast("long")
+    rest = target - F.lit(constant)
+    near = F.floor(F.exp(rest) if abs(skew - 1) < 1e-9 else F.pow(rest * (1 - skew), F.lit(1 / (1 - skew)))).cast("double")
+    large = near - 1
+    for step in (-1.0, 0.0, 1.0):
+        large = large + (_harmonic(near + step, skew, constant) <= target).cast("int")
+    large = F.greatest(F.lit(listed + 1.0), F.least(large, F.lit(float(n))))
+    return F.when(target < F.lit(sums[-1]), small.cast("long")).otherwise(large.cast("long"))
 
 
 def categorical(u: Column, weights: Mapping[str, float]) -> Column:
@@ -67,23 +90,34 @@ def choice(u: Column, names: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.least(F.floor(u * len(names)) + 1, F.lit(len(names))).cast("int"))
 
 
-def inject_duplicates(df: DataFrame, rate: float, key: str, seed: int, replacement: bool = False) -> DataFrame:
-    """df and a copy of about rate of its rows, chosen by their key; a rate over 1 repeats rows."""
-    if rate < 0:
-        raise ValueError("rate must not be negative")
+def inject_duplicates(df: DataFrame, rate: float, key: str, seed: int) -> DataFrame:
+    """df and a copy of round(rows * rate) of its rows, chosen by a hash of their key; rate is from 0 to 1."""
+    if not 0 <= rate <= 1:
+        raise ValueError("rate must be in [0, 1]")
     if key not in df.columns:
         raise KeyError(key)
-    whole, part = int(rate), rate - int(rate)
-    times = F.lit(whole) + F.when(uniform(seed, key) < part, 1).otherwise(0)
-    copies = df.withColumn("__k", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("__k")
-    return df.unionByName(copies)
+    return df.unionByName(sample_exact(df, round(df.count() * rate), seed, key))
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """n rows without replacement, those of the smallest hashes: a top-n per task, then of these."""
+    """n rows without replacement (all, if fewer), those of the smallest hashes of their keys.
+
+    Counts of hash prefixes tell in which prefix the n-th row lies: rows below it are taken where they are, and only that one's
+    (a 65,536th of all) are sorted.
+    """
     if n < 0:
         raise ValueError("n must not be negative")
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    if n == 0:
+        return df.limit(0)
+    h = F.xxhash64(F.lit(seed), *keys)
+    prefix = F.shiftrightunsigned(h, 48)
+    counts = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.select("p", F.sum("c").over(Window.orderBy("p")).alias("upto"), "c")
+    last = upto.where(F.col("upto") >= n).orderBy("p").limit(1).collect()
+    if not last:
+        return df
+    sure = df.where(prefix < last[0].p)
+    return sure.unionByName(df.where(prefix == last[0].p).orderBy(h, *keys).limit(n - (last[0].upto - last[0].c)))
 
 
 def late_timestamp(event_ms: Column, seed: int, rate: float, low_hours: int, high_hours: int, *keys: Column | str) -> Column:

@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenflow.schemas import EVENT, PROMOTED
+from lumenflow.sources.staging import stage
 from lumenflow.sources.tables import resolve_source
 
 
 def row_ordinal(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """source_row_number: 0-based and dense in the order of some columns.
 
-    Rows are sorted across tasks by range; a task's rows are counted first, so that none sees more than its own range.
+    Rows are sorted across tasks by range and written once with their task's number and their place in it, so that the counts of the tasks
+    and the numbers are of the same rows however a second run would cut the ranges. No task sees more than its own range.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ordered.withColumn("__id", F.monotonically_increasing_id()), "ordinals")
     part = F.shiftright("__id", 33)
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ordered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    numbered = ordered.withColumn("__p", part).join(F.broadcast(sizes), "__p")
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    numbered = placed.withColumn("__p", part).join(F.broadcast(sizes), "__p")  # sizes: a row for each task
     local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn("source_row_number", F.col("__base") + local).drop("__id", "__p", "__base")
 
@@ -65,10 +68,11 @@ def parse_kafka(records: DataFrame, ingest_ts: Column | None = None, source_file
 
 
 def to_kafka(events: DataFrame, topic: str) -> DataFrame:
-    """key (user_id) and value (compact JSON with sorted keys, nulls kept) of events; a null user_id has no place on the topic and is dropped.
+    """key (user_id) and value (compact JSON with sorted keys, nulls kept) of events; an event without user_id fails the job.
 
     checks.event_violations lists such events beforehand.
     """
     names = sorted(events.columns)
     value = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    return events.where(F.col("user_id").isNotNull()).select(F.col("user_id").cast("string").cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit(topic).alias("topic"))
+    missing = F.raise_error(F.lit("an event without user_id has no key")).cast("string")
+    return events.select(F.coalesce(F.col("user_id").cast("string"), missing).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit(topic).alias("topic"))

@@ -62,6 +62,17 @@ def event_violations(events: DataFrame, schema: StructType) -> DataFrame:
     return events.select("event_id", why.alias("null_field")).where("null_field is not null")
 
 
+def validated(events: DataFrame, schema: StructType) -> DataFrame:
+    """events in the order of schema. Missing or additional columns are a ValueError, other types a TypeError, a null in a required field fails the job."""
+    require_columns(events, schema.names)
+    if extra := sorted(set(events.columns) - set(schema.names)):
+        raise ValueError(f"columns that the schema lacks: {', '.join(extra)}")
+    if wrong := [f"{f.name} is {events.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}" for f in schema if events.schema[f.name].dataType != f.dataType]:
+        raise TypeError("; ".join(wrong))
+    needed = lambda f: F.coalesce(F.col(f.name), F.raise_error(F.lit(f"{f.name} must not be null")).cast(f.dataType))
+    return events.select(*[(F.col(f.name) if f.nullable else needed(f)).alias(f.name) for f in schema])
+
+
 def drop_duplicates_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key, the least by order; rows aggregate before the shuffle, so a hot key sends one row per task."""
     rest = [c for c in df.columns if c not in order and c != key]

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.functions import sampling
-from lumenflow.operators import bronze, checks, features, models
+from lumenflow.operators import bronze, checks, features, models, profiles
 from lumenflow.plans.registry import register, rounded
 from lumenflow.schemas import EVENT
 from lumenflow.sources import avro_ocf, domain
 from lumenflow.sources.domain import CHANGE_DATE, with_views
+from lumenflow.sources.staging import new_path, stage
 from lumenflow.streaming import pipelines
 from lumenflow.synth import offline, stream
 
@@ -21,10 +20,7 @@ _ORDER = {"users": ["user_id"], "videos": ["video_id"], "playback_history": ["hi
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for what a query writes: below the cluster's checkpoint folder, else a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    name = tempfile.mktemp(prefix="media-", dir="").strip("/")
-    return f"{root.rstrip('/')}/{name}" if root else "file://" + tempfile.mkdtemp(prefix="media-")
+    return new_path(spark, "media")
 
 
 def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -185,26 +181,48 @@ def zipf_weights(spark, d):
 
 
 # --- synthetic sources: their invariants --------------------------------------------------------------------------------------------------
-_SHAPE = offline.Shape(users=300, videos=120, sessions=2_000, interactions=1_500, impressions=1_000)
+_SHAPE = offline.Shape()
+
 
+def _unlike(df: DataFrame, column: str, shares: dict[str, float], points: float) -> DataFrame:
+    """A row for each value whose share of df is more than some percentage points off."""
+    want = df.sparkSession.createDataFrame([(k, 100 * v / sum(shares.values())) for k, v in shares.items()], "value string, want double")
+    got = profiles.distribution(df, column).select(F.col("value").cast("string").alias("value"), "pct")
+    return want.join(got, "value", "full").where(F.abs(F.coalesce("pct", F.lit(0.0)) - F.coalesce("want", F.lit(0.0))) > points)
 
-@register("synthetic_invariants", "SELECT * FROM (VALUES ('ad_pairs_outside_playback', CAST(0 AS BIGINT)), ('ad_rows', 1000), ('interaction_pairs_outside_playback', 0), ('legacy_with_tracking', 0), ('legacy_rows', 600), ('current_without_tracking', 0), ('sessions_with_two_users_or_days', 0), ('users', 300), ('videos', 120), ('wrong_likes', 0)) t(metric, value)")
+
+@register(
+    "synthetic_invariants",
+    """SELECT * FROM (VALUES ('ad_pairs_outside_playback', CAST(0 AS BIGINT)), ('ad_rows', 10000), ('interaction_pairs_outside_playback', 0), ('legacy_with_tracking', 0), ('legacy_rows', 6000), ('current_without_tracking', 0),
+  ('sessions_with_two_users_or_days', 0), ('sessions_over_four_watches', 0), ('users', 2500), ('videos', 1000), ('wrong_likes', 0), ('playback_rows', 25500), ('playback_ids', 25000), ('interaction_rows', 15300), ('interaction_ids', 15000),
+  ('ids_outside_1_to_n', 0), ('unlike_tiers', 0), ('unlike_genres', 0), ('unlike_countries', 0), ('unlike_top_videos', 0), ('unlike_interactions', 0), ('unlike_clicks', 0)) t(metric, value)""",
+)
 def synthetic_invariants(spark, d):
-    """Referential and schema-evolution invariants of a generated platform; each is a count."""
+    """Referential, size, share and schema-evolution invariants of a generated platform of default size; each is a count."""
     t = offline.generate(spark, _SHAPE)
-    p, ads, acts = t["playback_history"], t["ad_impressions"], t["interactions"]
+    p, ads, acts, users, videos = (stage(t[n], n) for n in ("playback_history", "ad_impressions", "interactions", "users", "videos"))
     old = F.col("playback_date") < F.lit(_SHAPE.change)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value")
-    sessions = p.groupBy("session_id").agg(F.countDistinct("user_id").alias("u"), F.countDistinct("playback_date").alias("n")).where("u > 1 or n > 1")
+    sessions = p.dropDuplicates(["history_id"]).groupBy("session_id").agg(F.countDistinct("user_id").alias("u"), F.countDistinct("playback_date").alias("n"), F.count("*").alias("watches"))
+    zipf = lambda names, skew: {n: (k + 1) ** -skew for k, n in enumerate(names)}
+    number = lambda c: F.regexp_extract(c, "_([0-9]+)$", 1).cast("long")
+    ids = users.select(number("user_id").alias("i"), F.lit(_SHAPE.users).alias("n")).unionByName(videos.select(number("video_id").alias("i"), F.lit(_SHAPE.videos).alias("n"))).unionByName(p.select(number("history_id").alias("i"), F.lit(_SHAPE.sessions).alias("n")))
+    top_videos = p.withColumn("v", number("video_id")).select(F.when(F.col("v") <= 5, F.col("v").cast("string")).otherwise("rest").alias("v"))
+    weights = [(k + 1) ** -_SHAPE.popularity_skew for k in range(_SHAPE.videos)]
     parts = [
         count(ads.join(p, ["user_id", "video_id", "playback_date"], "left_anti"), "ad_pairs_outside_playback"), count(ads, "ad_rows"), count(acts.join(p, ["user_id", "video_id"], "left_anti"), "interaction_pairs_outside_playback"),
         count(ads.where(old & (F.col("midpoint").isNotNull() | F.col("third_quartile").isNotNull())), "legacy_with_tracking"), count(ads.where(old), "legacy_rows"), count(ads.where(~old & (F.col("midpoint").isNull() | F.col("third_quartile").isNull())), "current_without_tracking"),
-        count(sessions, "sessions_with_two_users_or_days"), count(t["users"], "users"), count(t["videos"], "videos"), count(acts.where("(interaction_type = 'like') <> coalesce(likes, false) or (interaction_type = 'dislike') <> coalesce(not likes, false)"), "wrong_likes"),
+        count(sessions.where("u > 1 or n > 1"), "sessions_with_two_users_or_days"), count(sessions.where("watches > 4"), "sessions_over_four_watches"), count(users, "users"), count(videos, "videos"),
+        count(acts.where("(interaction_type = 'like') <> coalesce(likes, false) or (interaction_type = 'dislike') <> coalesce(not likes, false)"), "wrong_likes"),
+        count(p, "playback_rows"), count(p.select("history_id").distinct(), "playback_ids"), count(acts, "interaction_rows"), count(acts.select("interaction_id").distinct(), "interaction_ids"), count(ids.where("i < 1 or i > n"), "ids_outside_1_to_n"),
+        count(_unlike(users, "user_subscription", zipf(_SHAPE.tiers, 1), 3), "unlike_tiers"), count(_unlike(videos, "video_genre", zipf(_SHAPE.genres, _SHAPE.genre_skew), 4), "unlike_genres"), count(_unlike(users, "country", dict.fromkeys(_SHAPE.countries, 1.0), 3), "unlike_countries"),
+        count(_unlike(top_videos, "v", {str(k + 1): w for k, w in enumerate(weights[:5])} | {"rest": sum(weights[5:])}, 1), "unlike_top_videos"), count(_unlike(acts, "interaction_type", offline.INTERACTIONS, 2), "unlike_interactions"),
+        count(_unlike(ads, "clicked", {"true": _SHAPE.click_rate, "false": 1 - _SHAPE.click_rate}, 1), "unlike_clicks"),
     ]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return stage(out, "invariants")
 
 
 for _n in ("users", "videos", "playback_history", "interactions", "ad_impressions"):
@@ -251,6 +269,17 @@ def avro_round_trip(spark, d):
     return avro_ocf.read_events(spark, path).select("event_id", "event_type", "event_timestamp", "created_ts", "playback_position_seconds", "midpoint")
 
 
+@register("avro_hourly", with_views("SELECT strftime(make_timestamp(event_timestamp * 1000), '%Y%m%d%H') AS hour, CAST(event_id AS VARCHAR) AS event_id, event_type, created_ts FROM stream_events", "stream_events"))
+def avro_hourly(spark, d):
+    """Hour folders, written twice: the second run replaces the first's."""
+    path = scratch(spark) + "/hours"
+    events = _events(spark, d)
+    avro_ocf.write_hourly(events, path)
+    avro_ocf.write_hourly(events, path)
+    got = avro_ocf.read_events(spark, path)
+    return got.select(F.date_format(F.timestamp_millis("event_timestamp"), "yyyyMMddHH").alias("hour"), "event_id", "event_type", "created_ts")
+
+
 _ROLLING = with_views(
     """SELECT user_id, window_end_ms, count(*) FILTER (event_type = 'playback_start' AND event_timestamp > window_end_ms - 1800000) AS f_stream_videos_started_30m,
   round(coalesce(avg(CAST(coalesce(midpoint, false) OR coalesce(third_quartile, false) AS INTEGER)) FILTER (event_type = 'ad_impression'), 0.0), 6) AS f_stream_ad_completion_ratio_60m,

@@ -7,33 +7,101 @@ import json
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    """'name type[?], ...': a question mark makes a column nullable."""
+def ddl(text: str) -> T.StructType:
+    """The struct of a column list in SQL's notation: name TYPE [NOT NULL]; no session is needed."""
     out = T.StructType()
-    for part in spec.split(","):
-        name, kind = part.split()
-        plain = kind.rstrip("?")
-        out.add(name, "integer" if plain == "int" else plain, kind.endswith("?"))
+    for part in text.split(","):
+        name, kind, *rest = part.split()
+        out.add(name, {"INT": "integer"}.get(kind, kind.lower()), not rest)
     return out
 
 
+# Names, types and nullability of the platform's columns.
 TABLES: dict[str, T.StructType] = {
-    "users": _struct("user_id string, user_age int, country string, user_subscription string, signup_ts timestamp_ntz"),
-    "videos": _struct("video_id string, video_title string, video_genre string, video_duration int, upload_date date"),
-    "playback_history": _struct("session_id string, history_id string, user_id string, video_id string, playback_date date, watch_hours double"),
-    "interactions": _struct("interaction_id string, user_id string, video_id string, interaction_type string, likes boolean?"),
-    "ad_impressions": _struct("impression_id string, user_id string, video_id string, advertiser_id string, cost_nanos long, midpoint boolean?, third_quartile boolean?, clicked boolean, playback_date date"),
+    "users": ddl("""
+    user_id STRING NOT NULL,
+    user_age INT NOT NULL,
+    country STRING NOT NULL,
+    user_subscription STRING NOT NULL,
+    signup_ts TIMESTAMP_NTZ NOT NULL
+"""),
+    "videos": ddl("""
+    video_id STRING NOT NULL,
+    video_title STRING NOT NULL,
+    video_genre STRING NOT NULL,
+    video_duration INT NOT NULL,
+    upload_date DATE NOT NULL
+"""),
+    "playback_history": ddl("""
+    session_id STRING NOT NULL,
+    history_id STRING NOT NULL,
+    user_id STRING NOT NULL,
+    video_id STRING NOT NULL,
+    playback_date DATE NOT NULL,
+    watch_hours DOUBLE NOT NULL
+"""),
+    "interactions": ddl("""
+    interaction_id STRING NOT NULL,
+    user_id STRING NOT NULL,
+    video_id STRING NOT NULL,
+    interaction_type STRING NOT NULL,
+    likes BOOLEAN
+"""),
+    "ad_impressions": ddl("""
+    impression_id STRING NOT NULL,
+    user_id STRING NOT NULL,
+    video_id STRING NOT NULL,
+    advertiser_id STRING NOT NULL,
+    cost_nanos LONG NOT NULL,
+    midpoint BOOLEAN,
+    third_quartile BOOLEAN,
+    clicked BOOLEAN NOT NULL,
+    playback_date DATE NOT NULL
+"""),
 }
-EVENT = _struct(
-    "event_id string, event_type string, event_timestamp long, created_ts long, user_id string, session_id string, device_type string, platform string,"
-    "video_id string?, genre_id string?, playback_position_seconds int?, ad_campaign_id string?, midpoint boolean?, third_quartile boolean?"
-)
+EVENT = ddl("""
+    event_id STRING NOT NULL,
+    event_type STRING NOT NULL,
+    event_timestamp LONG NOT NULL,
+    created_ts LONG NOT NULL,
+    user_id STRING NOT NULL,
+    session_id STRING NOT NULL,
+    device_type STRING NOT NULL,
+    platform STRING NOT NULL,
+    video_id STRING,
+    genre_id STRING,
+    playback_position_seconds INT,
+    ad_campaign_id STRING,
+    midpoint BOOLEAN,
+    third_quartile BOOLEAN
+""")
 PROMOTED = ("event_id", "event_type", "event_timestamp", "created_ts", "user_id", "session_id", "video_id")
-RAW_EVENT = _struct(
-    "raw_payload string?, ingest_ts timestamp, source_file string?, kafka_topic string, kafka_partition long, kafka_offset long, source_offset string, kafka_key string?, parse_error string?,"
-    "event_id string?, event_type string?, event_timestamp long?, created_ts long?, user_id string?, session_id string?, video_id string?"
-)
-KAFKA = _struct("key binary?, value binary?, topic string, partition int, offset long, timestamp timestamp")
+RAW_EVENT = ddl("""
+    raw_payload STRING,
+    ingest_ts TIMESTAMP NOT NULL,
+    source_file STRING,
+    kafka_topic STRING NOT NULL,
+    kafka_partition LONG NOT NULL,
+    kafka_offset LONG NOT NULL,
+    source_offset STRING NOT NULL,
+    kafka_key STRING,
+    parse_error STRING,
+    event_id STRING,
+    event_type STRING,
+    event_timestamp LONG,
+    created_ts LONG,
+    user_id STRING,
+    session_id STRING,
+    video_id STRING
+""")
+KAFKA = ddl("""
+    key BINARY,
+    value BINARY,
+    topic STRING NOT NULL,
+    partition INT NOT NULL,
+    offset LONG NOT NULL,
+    timestamp TIMESTAMP NOT NULL
+""")
 DEDUP_KEYS = {"playback_history": "history_id", "interactions": "interaction_id", "ad_impressions": "impression_id", "users": "user_id", "videos": "video_id", "stream_events": "event_id"}
 
 

@@ -5,12 +5,14 @@
     df.write.format("avro_ocf").mode("append").save(path)
 
 Flat records of string, int, long, boolean, float, double and nullable unions of them; null and deflate codecs. A file is a task
-when reading; a task writes one file, under a temporary name until the job commits. Paths are local or of any store that pyarrow opens.
+when reading; a task writes files of at most FILE_ROWS rows, under temporary names until the job commits. With the option folder_by each value
+of that column has a folder of its own, column=value, and mode overwrite replaces the files of those folders that get rows. Paths are local or of any store that pyarrow opens.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import os
 import struct
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lumenflow.operators.checks import validated
 from lumenflow.schemas import EVENT, avro_record
 
-MAGIC, BLOCK_ROWS = b"Obj\x01", 4_000
+MAGIC, BLOCK_ROWS, FILE_ROWS = b"Obj\x01", 4_000, 200_000
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -198,39 +201,50 @@ class _Reader(DataSourceReader):
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, schema: StructType, codec: str, overwrite: bool):
-        self.path, self.schema, self.codec, self.overwrite = path, schema, codec, overwrite
+    def __init__(self, path: str, schema: StructType, codec: str, overwrite: bool, folder_by: str | None):
+        self.path, self.codec, self.overwrite, self.folder_by = path, codec, overwrite, folder_by
+        self.names = schema.names
+        self.schema = StructType([f for f in schema if f.name != folder_by])
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        names = self.schema.names
-        data = encode(avro_record("Record", self.schema), (dict(zip(names, r)) for r in rows), self.codec)
-        fs, path = _fs(self.path)
-        fs.create_dir(path, recursive=True)
-        target = f"{path}/.part-{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(target) as f:
-            f.write(data)
-        return _Done(target)
+        fs, root = _fs(self.path)
+        record, place = avro_record("Record", self.schema), self.names.index(self.folder_by) if self.folder_by else None
+        done: list[str] = []
+        try:
+            for value, some in itertools.groupby(rows, key=lambda r: None if place is None else r[place]):
+                folder = root if place is None else f"{root}/{self.folder_by}={value}"
+                fs.create_dir(folder, recursive=True)
+                while part := list(itertools.islice(some, FILE_ROWS)):
+                    done.append(f"{folder}/.part-{uuid.uuid4().hex}.tmp")
+                    with fs.open_output_stream(done[-1]) as f:
+                        f.write(encode(record, ({n: v for n, v in zip(self.names, r) if n != self.folder_by} for r in part), self.codec))
+        except BaseException:
+            for path in done:
+                fs.delete_file(path)
+            raise
+        return _Done(done)
 
     def commit(self, messages: list) -> None:
-        fs, path = _fs(self.path)
+        fs, root = _fs(self.path)
+        made = [p for m in messages if m is not None for p in m.paths]
         if self.overwrite:
-            for info in fs.get_file_info(pafs.FileSelector(path, recursive=True)):
-                if info.path.endswith(".avro"):
-                    fs.delete_file(info.path)
-        for m in messages:
-            if m is not None:
-                head, name = os.path.split(m.path)
-                fs.move(m.path, f"{head}/{name[1:-4]}.avro")
+            for folder in {os.path.dirname(p) for p in made} | ({root} if self.folder_by is None else set()):
+                for info in fs.get_file_info(pafs.FileSelector(folder, recursive=self.folder_by is None, allow_not_found=True)):
+                    if info.path.endswith(".avro"):
+                        fs.delete_file(info.path)
+        for path in made:
+            head, name = os.path.split(path)
+            fs.move(path, f"{head}/{name[1:-4]}.avro")
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None:
-                _fs(self.path)[0].delete_file(m.path)
+            for path in m.paths if m is not None else ():
+                _fs(self.path)[0].delete_file(path)
 
 
 class AvroOcf(DataSource):
@@ -245,13 +259,15 @@ class AvroOcf(DataSource):
         return _Reader(self.options["path"], schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], schema, self.options.get("codec", "null"), overwrite)
+        return _Writer(self.options["path"], schema, self.options.get("codec", "null"), overwrite, self.options.get("folder_by"))
 
 
 def read_events(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
-    """Stream events below path. A missing path is a FileNotFoundError, or an empty table if missing_ok."""
+    """Stream events below path. A path that is missing or holds no file is a FileNotFoundError, or an empty table if missing_ok."""
     fs, local = _fs(path)
-    if fs.get_file_info(local).type == pafs.FileType.NotFound:
+    kind = fs.get_file_info(local).type
+    found = kind == pafs.FileType.File or kind == pafs.FileType.Directory and any(i.path.endswith(".avro") for i in fs.get_file_info(pafs.FileSelector(local, recursive=True)))
+    if not found:
         if missing_ok:
             return spark.createDataFrame([], EVENT)
         raise FileNotFoundError(path)
@@ -259,10 +275,13 @@ def read_events(spark: SparkSession, path: str, missing_ok: bool = False) -> Dat
     return spark.read.format("avro_ocf").schema(EVENT).load(path)
 
 
-def write_hourly(events: DataFrame, path: str, hours: list[str]) -> None:
-    """hour=YYYYMMDDHH folders of Avro files, by event time in UTC; each hour that is named is replaced."""
+def write_hourly(events: DataFrame, path: str, files: int = 1) -> None:
+    """hour=YYYYMMDDHH folders of Avro files, by event time in UTC, in one job; every hour that has events is replaced.
+
+    Events are validated first: a missing or additional column, another type or a null in a required field writes nothing. files: tasks that share an hour.
+    """
     spark = events.sparkSession
     spark.dataSource.register(AvroOcf)
-    hour = F.date_format(F.timestamp_millis("event_timestamp"), "yyyyMMddHH")
-    for h in hours:
-        events.where(hour == h).write.format("avro_ocf").mode("append").save(f"{path}/hour={h}")
+    rows = validated(events, EVENT).withColumn("hour", F.date_format(F.timestamp_millis("event_timestamp"), "yyyyMMddHH"))
+    dealt = rows.repartition("hour", F.pmod(F.xxhash64("event_id"), F.lit(files))).sortWithinPartitions("hour")
+    dealt.write.format("avro_ocf").mode("overwrite").option("folder_by", "hour").save(path)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions.sampling import bernoulli, categorical, choice, inject_duplicates, uniform, uniform_int, zipf_rank
+from lumenflow.operators.bronze import row_ordinal
 from lumenflow.schemas import TABLES
 
 # The platform's domains and weights.
@@ -20,7 +21,7 @@ INTERACTIONS = {"like": 0.62, "dislike": 0.08, "comment": 0.18, "share": 0.12}
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes and rates of a synthetic platform."""
+    """Sizes, pools, ranges and rates of a synthetic platform; sessions counts rows of playback_history before duplicates."""
 
     users: int = 2_500
     videos: int = 1_000
@@ -34,6 +35,13 @@ class Shape:
     legacy_share: float = 0.6
     advertisers: int = 50
     cost_nanos: tuple[int, int] = (500_000, 50_000_000)
+    ages: tuple[int, int] = (13, 80)
+    durations: tuple[int, int] = (300, 7_200)
+    watches: tuple[int, int] = (1, 4)
+    watch_hours: tuple[float, float] = (0.05, 4.0)
+    countries: tuple[str, ...] = COUNTRIES
+    tiers: tuple[str, ...] = TIERS
+    genres: tuple[str, ...] = GENRES
     days: int = 120
     end: dt.date = dt.date(2026, 1, 31)
     change: dt.date = dt.date(2025, 12, 1)
@@ -42,45 +50,70 @@ class Shape:
     def __post_init__(self) -> None:
         if min(self.users, self.videos, self.sessions, self.interactions, self.impressions) < 0 or self.days <= 0:
             raise ValueError("sizes must not be negative and days positive")
+        if self.genre_skew < 0 or self.popularity_skew < 0:
+            raise ValueError("skews must not be negative")
+        for low, high in (self.ages, self.cost_nanos, self.watches, self.watch_hours, self.durations):
+            if low > high:
+                raise ValueError("ranges must be in order")
+        if self.watches[0] <= 0 or self.watch_hours[0] <= 0 or self.advertisers <= 0:
+            raise ValueError("watches, watch hours and advertisers must be positive")
+        if not (self.countries and self.tiers and self.genres):
+            raise ValueError("pools must not be empty")
         if not (0 <= self.duplicate_rate <= 1 and 0 <= self.click_rate <= 1 and 0 <= self.legacy_share <= 1):
             raise ValueError("rates must be in [0, 1]")
 
 
+    def summary(self) -> dict[str, object]:
+        return {"generator": "offline"} | {k: v.isoformat() if isinstance(v, dt.date) else v for k, v in asdict(self).items()}
+
+
 def _day(end: dt.date, back: Column) -> Column:
     return F.date_sub(F.lit(end), back.cast("int"))
 
 
+def _zipf_like(names: tuple[str, ...]) -> dict[str, float]:
+    return {t: 1 / (k + 1) for k, t in enumerate(names)}
+
+
 def users(spark: SparkSession, s: Shape) -> DataFrame:
-    tiers = {t: 1 / (k + 1) for k, t in enumerate(TIERS)}
     signup = F.date_sub(F.lit(s.end), uniform_int(s.seed + 5, 0, 1_460, "id").cast("int")).cast("timestamp_ntz")
-    return spark.range(s.users).select(F.format_string("user_%08d", "id").alias("user_id"), uniform_int(s.seed + 1, 13, 80, "id").cast("int").alias("user_age"), choice(uniform(s.seed + 2, "id"), COUNTRIES).alias("country"), categorical(uniform(s.seed + 3, "id"), tiers).alias("user_subscription"), signup.alias("signup_ts"))
+    return spark.range(1, s.users + 1).select(F.format_string("user_%08d", "id").alias("user_id"), uniform_int(s.seed + 1, *s.ages, "id").cast("int").alias("user_age"), choice(uniform(s.seed + 2, "id"), s.countries).alias("country"), categorical(uniform(s.seed + 3, "id"), _zipf_like(s.tiers)).alias("user_subscription"), signup.alias("signup_ts"))
 
 
 def videos(spark: SparkSession, s: Shape) -> DataFrame:
-    genre = F.element_at(F.array(*[F.lit(g) for g in GENRES]), zipf_rank(uniform(s.seed + 11, "id"), len(GENRES), s.genre_skew).cast("int"))
-    return spark.range(s.videos).select(F.format_string("video_%08d", "id").alias("video_id"), F.format_string("Title %d", "id").alias("video_title"), genre.alias("video_genre"), uniform_int(s.seed + 12, 300, 7_200, "id").cast("int").alias("video_duration"), _day(s.end, uniform_int(s.seed + 13, 0, 1_460, "id")).alias("upload_date"))
+    genre = F.element_at(F.array(*[F.lit(g) for g in s.genres]), zipf_rank(uniform(s.seed + 11, "id"), len(s.genres), s.genre_skew).cast("int"))
+    return spark.range(1, s.videos + 1).select(F.format_string("video_%08d", "id").alias("video_id"), F.format_string("Video %08d", "id").alias("video_title"), genre.alias("video_genre"), uniform_int(s.seed + 12, *s.durations, "id").cast("int").alias("video_duration"), _day(s.end, uniform_int(s.seed + 13, 0, 1_460, "id")).alias("upload_date"))
+
+
+#: Rows of playback_history that are cut into sessions together; a session ends at their end.
+RUN = 4_096
 
 
 def playback_history(spark: SparkSession, s: Shape) -> DataFrame:
-    """Sessions of one to four watches that share a user and a day; popular videos have small numbers; whole rows repeat at duplicate_rate."""
-    rows = spark.range(s.sessions if s.users and s.videos else 0).select(F.col("id").alias("n"), uniform_int(s.seed + 21, 0, max(0, s.users - 1), "id").alias("u"), _day(s.end, uniform_int(s.seed + 22, 0, s.days - 1, "id")).alias("playback_date"), F.explode(F.sequence(F.lit(1).cast("long"), uniform_int(s.seed + 23, 1, 4, "id"))).alias("k"))
-    video = zipf_rank(uniform(s.seed + 24, "n", "k"), max(1, s.videos), s.popularity_skew) - 1
-    hours = F.lit(0.05) + uniform(s.seed + 25, "n", "k") * 3.95
-    out = rows.select(F.format_string("session_%010d", "n").alias("session_id"), F.format_string("history_%010d", F.col("n") * 4 + F.col("k") - 1).alias("history_id"), F.format_string("user_%08d", "u").alias("user_id"), F.format_string("video_%08d", video).alias("video_id"), "playback_date", hours.alias("watch_hours"))
+    """s.sessions rows in sessions of one to four watches that share a user and a day; popular videos have small numbers.
+
+    round(rows * duplicate_rate) whole rows repeat. Sessions are cut from runs of RUN rows, each on its own.
+    """
+    n = s.sessions if s.users and s.videos else 0
+    starts = spark.range(0, n, RUN).select(F.floor(F.col("id") / RUN).alias("run"), "id", F.explode(F.sequence(F.lit(0), F.lit(RUN - 1))).alias("k"))
+    starts = starts.withColumn("length", uniform_int(s.seed + 23, *s.watches, "run", "k"))
+    at = F.sum("length").over(Window.partitionBy("run").orderBy("k")) - F.col("length")  # at most RUN rows
+    left = F.least(F.lit(RUN), F.lit(n) - F.col("id")) - F.col("at")
+    cut = starts.withColumn("at", at).where(left > 0).withColumn("length", F.least("length", left))
+    rows = cut.select((F.col("run") * RUN + F.col("k") + 1).alias("session"), (F.col("id") + F.col("at") + 1).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("step"))
+    rows = rows.select("session", (F.col("first") + F.col("step")).alias("h"), uniform_int(s.seed + 21, 1, max(1, s.users), "session").alias("u"), _day(s.end, uniform_int(s.seed + 22, 0, s.days - 1, "session")).alias("playback_date"))
+    video = zipf_rank(uniform(s.seed + 24, "h"), max(1, s.videos), s.popularity_skew)
+    hours = F.lit(s.watch_hours[0]) + uniform(s.seed + 25, "h") * (s.watch_hours[1] - s.watch_hours[0])
+    out = rows.select(F.format_string("session_%010d", "session").alias("session_id"), F.format_string("history_%010d", "h").alias("history_id"), F.format_string("user_%08d", "u").alias("user_id"), F.format_string("video_%08d", video).alias("video_id"), "playback_date", hours.alias("watch_hours"))
     return inject_duplicates(out, s.duplicate_rate, "history_id", s.seed + 26)
 
 
 def drawn_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows of df with replacement, numbered id: rows get dense numbers by range, draws join on these."""
-    order = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    sizes = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c")).withColumn("__base", F.coalesce(F.sum("__c").over(order), F.lit(0)))
-    total = sizes.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
-    spark = df.sparkSession
-    numbered = ranged.join(F.broadcast(sizes.select("__p", "__base")), part == F.col("__p")).withColumn("__n", F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    draws = spark.range(n if total else 0).withColumn("__n", uniform_int(seed, 0, max(0, total - 1), "id"))
-    return draws.join(numbered, "__n").drop("__n", "__p", "__base", "__id")
+    """n rows of df with replacement, numbered id from 1: rows get dense numbers, draws join on these."""
+    numbered = row_ordinal(df, [key])
+    total = numbered.count()
+    draws = df.sparkSession.range(1, (n if total else 0) + 1).withColumn("source_row_number", uniform_int(seed, 0, max(0, total - 1), "id"))
+    return draws.join(numbered, "source_row_number").drop("source_row_number")
 
 
 def interactions(playback: DataFrame, s: Shape) -> DataFrame:

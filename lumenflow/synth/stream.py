@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +33,13 @@ class StreamShape:
     seed: int = 42
 
     def __post_init__(self) -> None:
-        if self.minutes < 0 or not 0 <= self.click_rate <= 1:
-            raise ValueError("minutes must not be negative and click_rate in [0, 1]")
+        if min(self.minutes, self.chains_per_minute, self.multiplier) < 0:
+            raise ValueError("minutes, chains and the multiplier must not be negative")
+        if not all(0 <= r <= 1 for r in (self.click_rate, self.cancel_rate, self.pause_share, self.duplicate_rate, self.late_rate)):
+            raise ValueError("rates must be in [0, 1]")
+
+    def summary(self) -> dict[str, object]:
+        return {"generator": "stream"} | asdict(self)
 
 
 def in_burst(ms: Column, bursts: tuple[str, ...]) -> Column:

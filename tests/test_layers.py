@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,22 @@ def test_row_ordinals_are_dense(spark):
     assert all(r.id == r.source_row_number for r in got) and len(got) == 997
 
 
+@pytest.mark.parametrize("advisory", [None, "64k"])
+def test_row_ordinals_over_several_partitions(spark, tmp_path, advisory):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if advisory:
+        spark.conf.set(key, advisory)
+    try:
+        rows = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), F.col("id").cast("string").alias("v"))
+        bronze.row_ordinal(rows, ["k"]).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset(key)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = out.agg(F.count("*"), F.countDistinct("source_row_number"), F.min("source_row_number"), F.max("source_row_number")).first()
+    assert tuple(got) == (1_000_000, 1_000_000, 0, 999_999)
+    assert out.groupBy(F.floor(F.col("source_row_number") / 100_000).alias("g")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).withColumn("before", F.expr("lag(hi) over (order by g)")).where("before >= lo").count() == 0
+
+
 def test_silver_keeps_the_newest_and_the_earliest(spark):
     raw = bronze.parse_kafka(records(spark), F.lit("2026-01-01").cast("timestamp"))
     later = raw.where("event_id = 'e1'").withColumn("raw_payload", F.lit(json.dumps(PAYLOAD | {"created_ts": 9})))
@@ -100,10 +117,22 @@ def test_profiles_of_edge_cases(spark):
 def test_avro_files_round_trip(spark, tmp_path):
     shape = stream.StreamShape(start_ms=1_767_225_600_000, minutes=3, chains_per_minute=4, users=5, videos=3)
     events = stream.events(spark, shape)
-    hours = [r.h for r in events.select(F.date_format(F.timestamp_millis("event_timestamp"), "yyyyMMddHH").alias("h")).distinct().collect()]
-    avro_ocf.write_hourly(events, str(tmp_path / "ev"), hours)
+    avro_ocf.write_hourly(events, str(tmp_path / "ev"))
+    avro_ocf.write_hourly(events, str(tmp_path / "ev"), files=3)
     got = avro_ocf.read_events(spark, str(tmp_path / "ev"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, events.collect()), key=str)
+    assert {p.name for p in (tmp_path / "ev").iterdir()} == {"hour=2026010100", "hour=2026010101"} - ({"hour=2026010101"} if events.where("event_timestamp >= 1767229200000").count() == 0 else set())
+    avro_ocf.write_hourly(events.limit(0), str(tmp_path / "ev"))
+    assert got.count() == events.count()
+    for bad, error in ((events.withColumn("more", F.lit(1)), ValueError), (events.drop("platform"), ValueError), (events.withColumn("user_id", F.lit(1)), TypeError)):
+        with pytest.raises(error):
+            avro_ocf.write_hourly(bad, str(tmp_path / "ev"))
+    with pytest.raises(Exception, match="session_id must not be null"):
+        avro_ocf.write_hourly(events.withColumn("session_id", F.lit(None).cast("string")), str(tmp_path / "ev"))
+    assert avro_ocf.read_events(spark, str(tmp_path / "ev")).count() == events.count()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        avro_ocf.read_events(spark, str(tmp_path / "none"))
     with pytest.raises(FileNotFoundError):
         avro_ocf.read_events(spark, str(tmp_path / "no"))
     assert avro_ocf.read_events(spark, str(tmp_path / "no"), missing_ok=True).collect() == []
@@ -129,7 +158,7 @@ def test_sampling(spark):
     assert {round(r.weight, 9) for r in sampling.zipf_weights(spark, 4, 0).collect()} == {0.25}
     df = spark.range(2_000)
     assert sampling.inject_duplicates(df, 0.0, "id", 1).count() == 2_000 and sampling.inject_duplicates(df, 1.0, "id", 1).count() == 4_000
-    assert 800 < sampling.inject_duplicates(df, 0.5, "id", 1).count() - 2_000 < 1_200
+    assert sampling.inject_duplicates(df, 0.0333, "id", 1).count() == 2_067 and sampling.inject_duplicates(df, 0.5, "id", 1).groupBy("id").count().where("count > 2").count() == 0
     assert sampling.sample_exact(df, 77, 3, "id").count() == 77
     late = df.select(sampling.late_timestamp(F.col("id"), 1, 1.0, 1, 1, "id").alias("t"), "id")
     assert late.where("t - id <> 3600000").count() == 0
@@ -137,7 +166,12 @@ def test_sampling(spark):
     assert 1_350 < kinds["a"] < 1_650
     ranks = [r.r for r in df.select(sampling.zipf_rank(sampling.uniform(6, "id"), 50, 1.0).alias("r")).collect()]
     assert min(ranks) >= 1 and max(ranks) <= 50 and ranks.count(1) > 200
-    for bad in (lambda: sampling.zipf_weights(spark, 0, 1), lambda: sampling.bernoulli(1, 2.0, "id"), lambda: sampling.inject_duplicates(df, -1, "id", 1), lambda: sampling.late_timestamp(F.col("id"), 1, 0.5, 3, 1, "id"), lambda: sampling.categorical(F.rand(), {})):
+    for n, skew in ((10, 0.75), (50, 1.0), (1_000, 0.8), (40, 0.0), (3_000, 1.7), (33, 2.0), (1, 0.5)):
+        sums = np.cumsum(np.arange(1, n + 1) ** -float(skew))
+        draws = [r.u for r in spark.range(4_000).select(sampling.uniform(3, "id").alias("u")).collect()] + [0.0, 1 - 2**-53]
+        got = [r.r for r in spark.createDataFrame([(u,) for u in draws], "u double").select(sampling.zipf_rank(F.col("u"), n, skew).alias("r")).collect()]
+        assert got == [min(n, int(np.searchsorted(sums, u * sums[-1], "right")) + 1) for u in draws]
+    for bad in (lambda: sampling.zipf_weights(spark, 0, 1), lambda: sampling.bernoulli(1, 2.0, "id"), lambda: sampling.inject_duplicates(df, -1, "id", 1), lambda: sampling.inject_duplicates(df, 1.01, "id", 1), lambda: sampling.late_timestamp(F.col("id"), 1, 0.5, 3, 1, "id"), lambda: sampling.categorical(F.rand(), {})):
         with pytest.raises(ValueError):
             bad()
     with pytest.raises(KeyError):
