@@ -1,59 +1,16 @@
-"""What the corpus operators share: staged tables in the cluster's shared folder and connected components."""
+"""What the corpus operators share: connected components, and caches of Python workers. Staged tables are the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset (single machine, tests)."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="lumenflow-")
-        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
-    return "file://" + _own_root
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete staged tables that nothing will read again."""
-    for df in tables:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+from lumenflow.sources.staging import discard, new_path, remove, shared_root, stage
 
+__all__ = ["components", "discard", "finite_vector", "forest", "is_empty", "new_path", "remove", "shared_root", "stage", "worker_cache"]
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
@@ -112,6 +69,25 @@ def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         lab = new
 
 
+class Recent(dict):
+    """A cache of two generations: the older one goes when the newer holds limit entries, so frequent keys stay. make gives a missing value."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 60):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
 _caches: dict[str, dict] = {}
 
 

@@ -18,28 +18,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenflow.llm.common import Recent, worker_cache
+
 BUCKET_BITS = 15
 PAD = 0  # row 0 of the table is all zeros and stands after each text's end
+BATCH_WORDS = 30_000
 STRIP = b".,;:!?\"'()[]{}<>"
 
 
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = 1 + xxhash.xxh3_64_intdigest(word.strip(STRIP)) % ((1 << BUCKET_BITS) - 1)
-        if len(self) >= 1_000_000:
-            self.clear()
-        if len(word) <= 60:
-            self[word] = h
-        return h
-
-
-_buckets = _Buckets()
+def _bucket(word: bytes) -> int:
+    return 1 + xxhash.xxh3_64_intdigest(word.strip(STRIP)) % ((1 << BUCKET_BITS) - 1)
 
 
 def word_rows(text: str | None) -> np.ndarray:
     """A table row for each word of a whole text; a null text or one without words has none."""
     words = (text or "").lower().encode().split()
-    return np.fromiter(map(_buckets.__getitem__, words), np.int32, len(words))
+    return np.fromiter(map(worker_cache("op3-words", lambda: Recent(_bucket, 75_000)).__getitem__, words), np.int32, len(words))
 
 
 @dataclass
@@ -93,9 +87,34 @@ class TextCnn:
         return (best, where, rows) if places else best
 
     def scores(self, texts: list[np.ndarray], parts: list[list[np.ndarray]] | None = None) -> np.ndarray:
-        parts = parts or self.responses()
-        z = np.maximum(self.pooled(texts, parts) + self.bias, 0) @ self.out + self.shift
-        return 1 / (1 + np.exp(-z.astype("f8")))
+        """Scores of texts (table rows), about BATCH_WORDS words at a time."""
+        parts, out, at = parts or self.responses(), [], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_WORDS)))
+            z = np.maximum(self.pooled(texts[at:stop], parts) + self.bias, 0) @ self.out + self.shift
+            out.append(1 / (1 + np.exp(-z.astype("f8"))))
+            at = stop
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def gradients(self, texts: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss, by parameter: table, k0 and on (kernels), bias, out, shift."""
+        best, where, rows = self.pooled(texts, self.responses(), True)
+        act = np.maximum(best + self.bias, 0)
+        z = act @ self.out + self.shift
+        gz = ((1 / (1 + np.exp(-z)) - y) / len(texts)).astype("f4")
+        gact = gz[:, None] * self.out * (best + self.bias > 0)
+        grad = {"out": act.T @ gz, "bias": gact.sum(0), "table": np.zeros_like(self.table), "shift": gz.sum()}
+        for w, k in enumerate(self.kernel):
+            cols, gk = slice(w * self.filters, (w + 1) * self.filters), np.zeros_like(k)
+            g, pos = gact[:, cols], where[:, cols]
+            for j in range(len(k)):
+                hit = rows[pos + j]
+                gk[j] = np.einsum("bf,bfd->df", g, self.table[hit])
+                np.add.at(grad["table"], hit.ravel(), (g[:, :, None] * k[j].T[None]).reshape(-1, self.dims))
+            grad[f"k{w}"] = gk
+        grad["table"][PAD] = 0
+        return grad
 
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02) -> None:
         """Adam on the logistic loss; the first embedding dimension starts as the log odds of the row's documents."""
@@ -121,27 +140,13 @@ class TextCnn:
             order = rng.permutation(len(texts))
             for b in range(0, len(order), batch):
                 some = order[b : b + batch]
-                best, where, rows = self.pooled([texts[i] for i in some], self.responses(), True)
-                act = np.maximum(best + self.bias, 0)
-                z = act @ self.out + self.shift
-                gz = ((1 / (1 + np.exp(-z)) - y[some]) / len(some)).astype("f4")
-                gact = gz[:, None] * self.out * (best + self.bias > 0)
-                grad = {"out": act.T @ gz, "bias": gact.sum(0), "table": np.zeros_like(self.table)}
-                for w, k in enumerate(self.kernel):
-                    cols, gk = slice(w * self.filters, (w + 1) * self.filters), np.zeros_like(k)
-                    g, pos = gact[:, cols], where[:, cols]
-                    for j in range(len(k)):
-                        hit = rows[pos + j]
-                        gk[j] = np.einsum("bf,bfd->df", g, self.table[hit])
-                        np.add.at(grad["table"], hit.ravel(), (g[:, :, None] * k[j].T[None]).reshape(-1, self.dims))
-                    grad[f"k{w}"] = gk
-                grad["table"][PAD] = 0
+                grad = self.gradients([texts[i] for i in some], y[some])
                 steps += 1
                 for n, p in params.items():
                     first[n] = 0.9 * first[n] + 0.1 * grad[n]
                     second[n] = 0.999 * second[n] + 0.001 * grad[n] ** 2
                     p -= rate * (first[n] / (1 - 0.9**steps)) / (np.sqrt(second[n] / (1 - 0.999**steps)) + 1e-6) * (0.5 if n == "table" else 1)
-                self.shift = np.float32(self.shift - rate * 5 * gz.sum())
+                self.shift = np.float32(self.shift - rate * 5 * grad["shift"])
 
     def calibrate(self, texts: list[np.ndarray], labels: np.ndarray, langs: list[str | None], least: int = 40) -> None:
         """Shift scores so that 0.5 is the best cut overall, then find each language's own best threshold."""
@@ -198,37 +203,40 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000, **shape) -> Te
     return model
 
 
-def score(docs: DataFrame, model: TextCnn) -> DataFrame:
-    """docs with score, predicted (score >= 0.5), threshold (of the row's language) and rejected (score >= threshold).
-
-    A null or empty text gets the score of a text without words. A language without a calibrated threshold, and
-    a null one, have 0.5. Repeated rows stay; a null doc_id is scored; other columns are passed on, but for those with the new names.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((model, model.responses()))
+def _judgement(spark: SparkSession, model: TextCnn) -> tuple[Column, Column]:
+    """The score of a row's text and the threshold of its lang."""
+    sent = spark.sparkContext.broadcast((model, model.responses()))
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cnn, parts = sent.value
         for batch in texts:
-            out, held, size = [], [], 0
-            for t in batch:
-                held.append(word_rows(t))
-                size += len(held[-1])
-                if size > 30_000:
-                    out.append(cnn.scores(held, parts))
-                    held, size = [], 0
-            if held:
-                out.append(cnn.scores(held, parts))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            yield pd.Series(cnn.scores([word_rows(t) for t in batch], parts))
 
     limit = F.lit(model.threshold)
     for lang, value in model.thresholds.items():
         limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(limit)
-    new = ["score", "predicted", "threshold", "rejected"]
-    rows = docs.drop(*new).withColumn("score", scored(F.col("text").cast("string")))
+    return scored(F.col("text").cast("string")), limit
+
+
+def score(docs: DataFrame, model: TextCnn) -> DataFrame:
+    """docs with score, predicted (score >= 0.5), threshold (of the row's language) and rejected (score >= threshold).
+
+    A null or empty text gets the score of a text without words; a text of any length is scored whole. A language without a calibrated
+    threshold, and a null one, have 0.5. Repeated rows stay; a null doc_id is scored; a score on the threshold is rejected. Other columns are
+    passed on, but for those with the new names. An empty table gives none.
+    """
+    scored, limit = _judgement(docs.sparkSession, model)
+    rows = docs.drop("score", "predicted", "threshold", "rejected").withColumn("score", scored)
     return rows.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "threshold": limit}).withColumn("rejected", F.col("score") >= F.col("threshold"))
 
 
+def accepted(docs: DataFrame, model: TextCnn) -> DataFrame:
+    """The rows of docs that score() doesn't reject, with all their own columns whatever these are called."""
+    scored, limit = _judgement(docs.sparkSession, model)
+    return docs.where(scored < limit)
+
+
 def score_table(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = score(docs, train(docs, labels))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "threshold", "rejected")

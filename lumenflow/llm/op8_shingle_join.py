@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import components, discard, forest, stage, worker_cache
+from lumenflow.llm.common import Recent, components, discard, forest, stage, worker_cache
 
 #: Tokens of a chunk (a longer document is a chunk of its own) and, about, of a range; from so many documents of a chunk on, a token's list stays with the chunk.
 CHUNK, RANGE, COMMON = 1 << 21, 1 << 20, 64
@@ -38,16 +38,9 @@ BLOCK, BLOCK_TOKENS, COLUMNS = 256, 400_000, 4_096
 BITS = 48
 
 
-class _WordHash(dict):
-    """Word -> hash; emptied when it holds 150,000 words (about 30 MB)."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 60:
-            self[word] = h
-        return h
+def _words() -> Recent:
+    """Word -> hash, about 30 MB."""
+    return Recent(xxhash.xxh3_64_intdigest, 75_000)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -58,7 +51,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(worker_cache("op8-words", _WordHash).__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(worker_cache("op8-words", _words).__getitem__, words), np.uint64, len(words))
     k = min(k, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):

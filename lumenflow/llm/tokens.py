@@ -13,6 +13,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from lumenflow.llm.common import Recent, worker_cache
+
 # The public tokenizers' pre-token patterns, for texts of the first line's characters alone, where
 # Python's own, faster expressions agree with the library's.
 _PLAIN = re.compile("[\n -~À-ÖØ-öø-ÿ]*")
@@ -29,44 +31,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Pretokens(dict):
-    """Pre-token of a plain text -> ids as little-endian bytes, by the library's model; emptied when it holds limit of them."""
-
-    def __init__(self, model, code: str, limit: int):
-        super().__init__()
-        self.model, self.code, self.limit, self.letters = model, code, limit, _byte_letters()
-
-    def __missing__(self, pretoken: str) -> bytes:
-        mapped = pretoken.encode().decode("latin-1").translate(self.letters)
-        ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(self) >= self.limit:
-            self.clear()
-        if len(pretoken) <= 100:
-            self[pretoken] = ids
-        return ids
+#: Words and pre-tokens that a generation of a worker's cache holds: about 100 MB in all.
+WORDS, PRETOKENS, OTHERS = 150_000, 100_000, 30_000
 
 
-class PieceCache(dict):
-    """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); emptied when it holds limit words."""
+class PieceCache(Recent):
+    """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); literals of added tokens get these tokens' ids, as in the library."""
 
-    def __init__(self, path: str, limit: int = 1_800_000, added: bool = False):
-        """added: literals of the file's added tokens get these tokens' ids, as the library gives by default."""
-        super().__init__()
+    def __init__(self, path: str, words: int = WORDS):
+        super().__init__(self._word, words)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = not added
-        literals = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content] if added else []
+        literals = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, literals)), re.IGNORECASE) if literals else None
-        self.lower, self.limit, self.other = self.tok.normalizer is not None, limit, {}
+        self.lower, letters, model = self.tok.normalizer is not None, _byte_letters(), self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pretokens = _Pretokens(self.tok.model, "H" if self.dtype.itemsize == 2 else "I", limit * 2 // 3)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pretokens = Recent(lambda p: array(code, [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes(), PRETOKENS, 100)
+        self.other = Recent(self._whole, OTHERS, 100)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._plain(word if self.lower else " " + word)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(word) <= 60 and "\n" not in word:
-            self[word] = ids
-        return ids
+    def _word(self, word: str) -> bytes:
+        return self._plain(word if self.lower else " " + word)
 
     def _plain(self, text: str) -> bytes:
         found = _PLAIN_WORD.findall(text.lower()) if self.lower else _PLAIN_BYTE.findall(text)
@@ -75,14 +59,6 @@ class PieceCache(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _other(self, piece: str) -> bytes:
-        ids = self._whole(piece)
-        if len(self.other) >= self.limit // 8:
-            self.other.clear()
-        if len(piece) <= 100:
-            self.other[piece] = ids
-        return ids
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as bytes of self.dtype; a null text is empty."""
         if not text:
@@ -99,15 +75,9 @@ class PieceCache(dict):
         if _CONTROL.search(text):  # Python and the library differ on whether these are white space
             return self._whole(text)
         pieces = text.replace("\n", " ").split(" ") if self.lower else _PIECES.findall(text)
-        return b"".join([self.other.get(p) or self._other(p) for p in pieces if p])
-
-
-_caches: dict[str, PieceCache] = {}
+        return b"".join([self.other[p] for p in pieces if p])
 
 
 def cache_for(path: str) -> PieceCache:
-    """One cache for each tokenizer file and Python worker."""
-    if path not in _caches:
-        _caches.clear()
-        _caches[path] = PieceCache(path, added=True)
-    return _caches[path]
+    """The cache of a tokenizer file, the only one that a Python worker holds."""
+    return worker_cache(f"tokens-{path}", lambda: PieceCache(path))
