@@ -21,7 +21,7 @@ SHARE = 0.8
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of their language; the classifier learns from labels that aren't held out."""
     model = op3_toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return op3_toxicity.score(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return op3_toxicity.accepted(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
