@@ -123,6 +123,11 @@ def feature_profile(features: DataFrame) -> DataFrame:
     return features.agg(F.array(*aggs).alias("stats")).select(F.inline("stats"))
 
 
+def time_range(df: DataFrame, column: str) -> DataFrame:
+    """first and last value of a time column."""
+    return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+
+
 PROFILES = {"users": user_profile, "videos": video_profile, "playback_history": playback_profile, "interactions": interaction_profile, "ad_impressions": ad_profile, "stream_events": stream_profile}
 
 

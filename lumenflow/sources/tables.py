@@ -40,6 +40,16 @@ def resolve_source(spark: SparkSession, root: str, name: str) -> str:
     raise FileNotFoundError(f"no source for table {name} below {root}")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, over one that is there, in whatever store the path's scheme names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None, partition_by: Sequence[str] = (), mode: str = "overwrite", single_file: bool = False) -> None:
     """Write Parquet, of some columns if asked. single_file is for small reference tables only."""
     out = df.select(*columns) if columns else df

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,12 +18,57 @@ from lumenflow.schemas import KAFKA
 LATENESS = "48 hours"
 
 
-def kafka_records(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", per_trigger: int | None = None) -> DataFrame:
+def kafka_options(servers: str, topic: str, starting: str = "earliest", per_trigger: int | None = None, group: str | None = None) -> dict[str, str]:
+    """Options of Kafka's source. starting "error" begins at the earliest offset of a new checkpoint and fails where a committed one is gone.
+
+    group names the consumer group that brokers see; offsets are kept in the checkpoint.
+    """
+    if starting not in ("earliest", "latest", "error"):
+        raise ValueError("starting must be earliest, latest or error")
+    if per_trigger is not None and per_trigger <= 0:
+        raise ValueError("per_trigger must be positive")
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "latest" if starting == "latest" else "earliest", "failOnDataLoss": str(starting == "error").lower()}
+    return out | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {}) | ({"kafka.group.id": group} if group else {})
+
+
+def kafka_records(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", per_trigger: int | None = None, group: str | None = None) -> DataFrame:
     """A topic as a stream, with Kafka's own columns; needs the Kafka connector on the class path."""
-    if starting not in ("earliest", "latest"):
-        raise ValueError("starting must be earliest or latest")
-    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).option("failOnDataLoss", "true")
-    return (reader.option("maxOffsetsPerTrigger", per_trigger) if per_trigger else reader).load()
+    return spark.readStream.format("kafka").options(**kafka_options(servers, topic, starting, per_trigger, group)).load()
+
+
+def consume(query: StreamingQuery, max_records: int | None = None, seconds: float | None = None, poll: float = 0.5) -> int:
+    """Waits until a query ends, has taken max_records (it stops after the batch that reaches them), some seconds are over, or SIGINT or SIGTERM asks to stop.
+
+    Returns the records taken. A batch that has begun is finished, so its offsets and files are committed together. Signals are heeded in the
+    main thread only; handlers are restored.
+    """
+    if max_records is not None and max_records < 0:
+        raise ValueError("max_records must not be negative")
+    asked, old, began = threading.Event(), {}, time.monotonic()
+    if threading.current_thread() is threading.main_thread():
+        old = {s: signal.signal(s, lambda *_: asked.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        taken: dict[int, int] = {}
+        while True:
+            ended = query.awaitTermination(poll)
+            taken |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+            full = max_records is not None and sum(taken.values()) >= max_records
+            if ended or asked.is_set() or full or seconds is not None and time.monotonic() - began > seconds:
+                break
+        while query.isActive and query.status["isTriggerActive"] and not query.awaitTermination(poll):
+            pass
+        query.stop()
+        return sum((taken | {p["batchId"]: p["numInputRows"] for p in query.recentProgress}).values())
+    finally:
+        for s, handler in old.items():
+            signal.signal(s, handler)
+
+
+def refresh_features(events: DataFrame, path: str, checkpoint: str, every: str = "15 minutes", once: bool = False, **features_options) -> StreamingQuery:
+    """Rolling features of a stream, refreshed every quarter of an hour: each refresh replaces the snapshot at path by all windows so far."""
+    live = rolling_features(events, **features_options).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    timed = live.trigger(availableNow=True) if once else live.trigger(processingTime=every)
+    return timed.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
 
 
 def file_records(spark: SparkSession, path: str, per_trigger: int = 1_000) -> DataFrame:
