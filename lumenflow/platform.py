@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lumenflow.operators import bronze, features
 from lumenflow.quality import QualityReport
@@ -43,12 +44,15 @@ class Platform:
         return paths
 
     def run_stream(self, start: dt.datetime, minutes: int) -> str:
-        """Generates some minutes of events from start and writes them by the hour."""
+        """Generates some minutes of events from start, with the genres of the videos table, and writes them by the hour."""
         start_ms = int(start.timestamp() * 1000)
         change_ms = int(dt.datetime.combine(self.shape.change, dt.time(), dt.UTC).timestamp() * 1000)
         shape = stream.StreamShape(start_ms=start_ms, minutes=minutes, users=self.shape.users, videos=self.shape.videos, click_rate=self.shape.click_rate, change_ms=change_ms, seed=self.shape.seed)
         path = f"{self.root}/streaming"
-        avro_ocf.write_hourly(stream.events(self.spark, shape), path)
+        made = stream.events(self.spark, shape)
+        genres = tables.load_offline(self.spark, f"{self.root}/offline", ["videos"])["videos"].select("video_id", "video_genre")
+        named = made.join(genres, "video_id", "left").withColumn("genre_id", F.coalesce("video_genre", "genre_id"))
+        avro_ocf.write_hourly(named.select(*made.columns), path)
         self.done["streaming"] = path
         return path
 

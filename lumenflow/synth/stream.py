@@ -52,13 +52,13 @@ def in_burst(ms: Column, bursts: tuple[str, ...]) -> Column:
 
 
 def chains(spark: SparkSession, s: StreamShape) -> DataFrame:
-    """A row per chain: n (its number), t (its start) and the user, session and video that its events share."""
+    """A row per chain: n (its number), t (its start) and the user, session and video that its events share: user i watches video i modulo the number of videos."""
     minutes = spark.range(s.minutes).select(F.col("id").alias("minute"), (F.lit(s.start_ms) + F.col("id") * 60_000).alias("t"))
     times = F.when(in_burst(F.col("t"), s.bursts), F.lit(s.chains_per_minute * s.multiplier)).otherwise(F.lit(s.chains_per_minute))
     rows = minutes.where(times > 0).select("minute", "t", F.explode(F.sequence(F.lit(1), times)).alias("k"))
     rows = rows.withColumn("n", F.col("minute") * (s.chains_per_minute * max(1, s.multiplier) + 1) + F.col("k"))
     user = uniform_int(s.seed + 1, 0, max(0, s.users - 1), "n")
-    return rows.select("n", "t", F.format_string("user_%08d", user).alias("user_id"), F.format_string("session_%010d", user).alias("session_id"), F.format_string("video_%08d", user % max(1, s.videos)).alias("video_id"), F.format_string("genre_%04d", user % 10).alias("genre_id"), choice(uniform(s.seed + 2, user), DEVICES).alias("device_type"), choice(uniform(s.seed + 3, user), PLATFORMS).alias("platform"), F.format_string("campaign_%06d", uniform_int(s.seed + 4, 1, 999, "n")).alias("campaign"))
+    return rows.select("n", "t", F.format_string("user_%08d", user + 1).alias("user_id"), F.format_string("session_%010d", user + 1).alias("session_id"), F.format_string("video_%08d", user % max(1, s.videos) + 1).alias("video_id"), F.format_string("genre_%04d", user % 10 + 1).alias("genre_id"), choice(uniform(s.seed + 2, user), DEVICES).alias("device_type"), choice(uniform(s.seed + 3, user), PLATFORMS).alias("platform"), F.format_string("campaign_%06d", uniform_int(s.seed + 4, 1, 999, "n")).alias("campaign"))
 
 
 def events(spark: SparkSession, s: StreamShape) -> DataFrame:
