@@ -19,7 +19,7 @@ from lumenflow.llm.common import components, discard, finite_vector, forest, is_
 from lumenflow.llm.vectors import matrix, unit
 
 #: Vectors of a block; intervals joined in memory; blocks of an interval of the next level; axes in the order; axes in boxes.
-BLOCK, LEAF, FAN, ORDER_AXES, BOX_AXES = 2048, 256, 8, 7, 24
+BLOCK, LEAF, FAN, ORDER_AXES, BOX_AXES = 8192, 256, 8, 7, 24
 
 
 def principal_axes(classes: DataFrame, dims: int) -> np.ndarray:
@@ -92,19 +92,22 @@ def _blocks(classes: DataFrame, dims: int, axes: np.ndarray, eps: float) -> Data
 
 def _near_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     """Pairs of blocks (a <= b) whose boxes may hold a link, by recursion over intervals of the sequence."""
-    box = blocks.select("block", "lo", "hi")
-    nodes = [stage(box.withColumn("node", F.row_number().over(Window.orderBy("block")) - 1).select("node", "lo", "hi", "block"), "nodes")]
+    part = F.shiftright("block", 32)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    bases = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    box = blocks.select("block", "lo", "hi", part.alias("part")).join(F.broadcast(bases), "part")
+    nodes = [stage(box.select((F.col("base") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) - 1).alias("node"), "lo", "hi", "block"), "nodes")]
     size = nodes[0].count()
     while size > 1:
-        up = nodes[-1].select((F.col("node") / FAN).cast("int").alias("node"), F.posexplode(F.arrays_zip("lo", "hi")))
+        up = nodes[-1].select(F.floor(F.col("node") / FAN).alias("node"), F.posexplode(F.arrays_zip("lo", "hi")))
         merged = up.groupBy("node", "pos").agg(F.min("col.lo").alias("l"), F.max("col.hi").alias("h")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("pos", "l", "h"))).alias("v"))
         nodes.append(stage(merged.select("node", F.col("v.l").alias("lo"), F.col("v.h").alias("hi")), "nodes"))
         size = -(-size // FAN)
     pairs = nodes[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))
     apart = "aggregate(zip_with(zip_with(alo, bhi, (l, h) -> l - h), zip_with(blo, ahi, (l, h) -> l - h), (p, q) -> pow(greatest(p, q, 0D), 2)), 0D, (s, v) -> s + v)"
     for level in reversed(nodes[:-1] if len(nodes) > 1 else []):
-        a = level.select((F.col("node") / FAN).cast("int").alias("a"), F.col("node").alias("na"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-        b = level.select((F.col("node") / FAN).cast("int").alias("b"), F.col("node").alias("nb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+        a = level.select(F.floor(F.col("node") / FAN).alias("a"), F.col("node").alias("na"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+        b = level.select(F.floor(F.col("node") / FAN).alias("b"), F.col("node").alias("nb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
         pairs = stage(pairs.join(a, "a").join(b, "b").where("na <= nb").where(F.expr(apart) <= eps * eps).select(F.col("na").alias("a"), F.col("nb").alias("b")), "pairs")
     names = nodes[0].select("node", "block")
     out = pairs.join(names.toDF("a", "block_a"), "a").join(names.toDF("b", "block_b"), "b").select("block_a", "block_b")
@@ -149,25 +152,22 @@ def link_block_pair(xa: np.ndarray, xb: np.ndarray, same: bool, axes: np.ndarray
 def _links(blocks: DataFrame, pairs: DataFrame, dims: int, axes: np.ndarray, least: float, eps: float) -> DataFrame:
     """id, links (vectors linked with it in one pair of blocks), root (another id of its component there, or itself)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b, ids_a, ids_b, counts_a, counts_b, xa, xb = (batch.column(c)[i].as_py() for c in range(8))
-                xa, xb = np.frombuffer(xa).reshape(-1, dims), np.frombuffer(xb).reshape(-1, dims)
-                p, q = link_block_pair(xa, xb, a == b, axes, eps, least)
-                if not len(p):
-                    continue
-                ids = np.concatenate([np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)])
-                counts = np.concatenate([np.frombuffer(counts_a, np.int64), np.frombuffer(counts_b, np.int64)])
-                q = q if a == b else q + len(xa)
-                links = np.bincount(p, counts[q], len(ids)) + np.bincount(q, counts[p], len(ids))
-                root, hit = forest(len(ids), p, q), np.flatnonzero(links)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[hit]), "links": pa.array(links[hit].astype(np.int64)), "root": pa.array(ids[root[hit]])})
-
-    side = lambda s: blocks.select(F.col("block").alias(f"block_{s}"), F.col("cids").alias(f"ids_{s}"), F.col("counts").alias(f"counts_{s}"), F.col("x").alias(f"x_{s}"))
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(side("a"), "block_a").join(side("b"), "block_b").repartition(max(n, 24))
-    return stage(both.select("block_a", "block_b", "ids_a", "ids_b", "counts_a", "counts_b", "x_a", "x_b").mapInArrow(run, "id long, links long, root long"), "links")
+    def run(t: pa.Table) -> pa.Table:
+        first, *second = t.sort_by("block").to_pylist()
+        other = second[0] if second else first
+        xa, xb = (np.frombuffer(r["x"]).reshape(-1, dims) for r in (first, other))
+        p, q = link_block_pair(xa, xb, not second, axes, eps, least)
+        ids = np.concatenate([np.frombuffer(r["cids"], np.int64) for r in (first, other)])
+        counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in (first, other)])
+        q = q + len(xa) if second else q
+        links = np.bincount(p, counts[q], len(ids)) + np.bincount(q, counts[p], len(ids))
+        root, hit = forest(len(ids), p, q), np.flatnonzero(links)
+        return pa.table({"id": pa.array(ids[hit]), "links": pa.array(links[hit].astype(np.int64)), "root": pa.array(ids[root[hit]])})
+
+    named = pairs.withColumn("pair", F.struct("block_a", "block_b"))
+    ends = named.select(F.col("block_a").alias("block"), "pair").unionByName(named.where("block_a <> block_b").select(F.col("block_b").alias("block"), "pair"))
+    both = blocks.select("block", "cids", "counts", "x").join(ends, "block")  # a pair's two blocks meet in one shuffle
+    return stage(both.groupBy("pair").applyInArrow(run, "id long, links long, root long"), "links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -199,3 +199,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     member = valid.join(known, "embedding").select("vec_id", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     lone = rows.where(~(finite_vector(F.col("embedding")) & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The contract's query in DuckDB.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN component USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
