@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
 Each half of the vectors has a codebook; a cell of the index is a pair of centroids. A query takes the pairs in the order of the summed
-distances of its halves, from a heap, until the cells that it took hold enough entries, and ranks these by the exact inner product.
+distances of its halves, from a heap. It stops when the cells that it took are expected to hold enough of its k nearest entries, and ranks
+these cells' entries by the exact inner product. What is expected comes from the cells' counts and how widely entries spread around
+their centroids; how much is enough is found on the sample's own neighbours.
 Cells are of lengthened vectors, whose distances have the order of the inner products: entries get a last component that gives
 all of them the norm of the longest, queries a zero.
 """
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from lumenflow.llm.common import discard, finite_vector, stage
 from lumenflow.llm.vectors import matrix
 
-#: Codebooks are fitted on at most SAMPLE rows (the first by a hash of vec_id); every row is indexed. Entries and queries of a block.
-SAMPLE, ENTRIES, QUERIES = 16_384, 8_192, 1_024
+#: Codebooks are fitted on at most SAMPLE rows (the first by a hash of vec_id), and TRIALS of them are asked to find how much is enough; every
+#: row is indexed. Entries and queries of a block; cells of the histogram of a query's expectations.
+SAMPLE, TRIALS, ENTRIES, QUERIES, BINS = 16_384, 256, 8_192, 1_024, 1_024
 
 
 def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -52,20 +55,74 @@ def lengthened(x: np.ndarray, longest: float, query: bool = False) -> np.ndarray
     return np.c_[x, np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))]
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
-    """The cells that a query takes: pairs by rising d1 + d2, until they hold enough entries. counts: entries of each pair."""
+def above(z: np.ndarray) -> np.ndarray:
+    """The share of a normal distribution that lies z deviations or more above its mean, to a few hundredths of it."""
+    tail = 0.5 * np.exp(-0.717 * np.abs(z) - 0.416 * z * z)
+    return np.where(z >= 0, tail, 1 - tail)
+
+
+class Expectation:
+    """How many of a query's k nearest entries each cell is expected to hold.
+
+    An entry's inner product with a query is taken to be normal around the centroids' own, with the variance that the sample's residuals
+    have in the query's direction.
+    """
+
+    def __init__(self, books: tuple[np.ndarray, np.ndarray], residuals: tuple[np.ndarray, np.ndarray], counts: np.ndarray, k: int):
+        self.books, self.spread, self.counts, self.k = books, [r.T @ r / max(1, len(r)) for r in residuals], counts, k
+
+    def cells(self, q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
+        """For the halves of one query, each cell's expected number divided by k; they add up to 1 (to less, if there are fewer than k entries)."""
+        product = (self.books[0] @ q1)[:, None] + (self.books[1] @ q2)[None, :]
+        sd = max(float(np.sqrt(max(0.0, q1 @ self.spread[0] @ q1 + q2 @ self.spread[1] @ q2))), 1e-12 * (1 + float(np.abs(product).max())))
+        full = self.counts > 0
+        low, high = float(product[full].min()), float(product[full].max())
+        step = max((high - low) / BINS, 1e-300)
+        bins = np.minimum(((product - low) / step).astype(np.int64), BINS - 1)
+        held = np.bincount(bins[full], self.counts[full], BINS)
+        middle, lo, hi = low + (np.arange(BINS) + 0.5) * step, low - 8 * sd, high + 8 * sd
+        for _ in range(40):  # the inner product that k entries are expected to exceed
+            cut = (lo + hi) / 2
+            if (held * above((cut - middle) / sd)).sum() > self.k:
+                lo = cut
+            else:
+                hi = cut
+        return np.where(full, self.counts * above((cut - product) / sd), 0) / self.k
+
+
+def traverse(d1: np.ndarray, d2: np.ndarray, expected: np.ndarray, enough: float, counts: np.ndarray, entries: int) -> tuple[np.ndarray, float]:
+    """The cells that a query takes, pairs by rising d1 + d2 until what is expected in them adds up to enough and they hold some entries; and the last one's sum.
+
+    Pairs of that same sum are taken too, so the cells are exactly those whose sum isn't greater.
+    """
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    taken, held, heap, pushed = np.zeros(counts.shape, bool), 0, [(s1[0] + s2[0], 0, 0)], {(0, 0)}
-    while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
+    taken, held, size, last, heap, pushed = np.zeros(expected.shape, bool), 0.0, 0, -np.inf, [(s1[0] + s2[0], 0, 0)], {(0, 0)}
+    while heap and (held < enough or size < entries or heap[0][0] <= last):
+        last, i, j = heapq.heappop(heap)
         taken[o1[i], o2[j]] = True
-        held += counts[o1[i], o2[j]]
+        held += expected[o1[i], o2[j]]
+        size += counts[o1[i], o2[j]]
         for a, b in ((i + 1, j), (i, j + 1)):
             if a < len(s1) and b < len(s2) and (a, b) not in pushed:
                 pushed.add((a, b))
                 heapq.heappush(heap, (s1[a] + s2[b], a, b))
-    return taken
+    return taken, last
+
+
+def enough_for(expectation: Expectation, entries: np.ndarray, cell: np.ndarray, queries: np.ndarray, half: int, wanted: float) -> float:
+    """What a query's cells must be expected to hold so that they hold the wanted share of its neighbours: tried on queries (the first rows of entries)."""
+    need = []
+    for i, q in enumerate(queries):
+        near = entries @ q
+        near[i] = -np.inf
+        top = np.argpartition(-near, min(expectation.k, len(near) - 1) - 1)[: min(expectation.k, len(near) - 1)]
+        d = (distances(q[None, :half], expectation.books[0])[0][:, None] + distances(q[None, half:], expectation.books[1])[0][None, :]).ravel()
+        order = np.argsort(d, kind="stable")
+        reach = np.empty(len(order))
+        reach[order] = np.cumsum(expectation.cells(q[:half], q[half:]).ravel()[order])
+        need.append(reach[cell[top]])
+    return float(np.quantile(np.concatenate(need), wanted)) if need and len(entries) > 1 else np.inf
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -88,14 +145,14 @@ def _layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return first, parts, int(block + 1)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65, least: int = 2_000, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, wanted: float = 0.97, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id divisible by every), by inner product.
 
-    A query takes cells until they hold max(least, share of all rows) entries; there is no other bound on candidates, so
-    a table of up to least rows is searched whole. Vectors that are null, zero or hold null or non-finite components and
-    rows with a null vec_id take no part; shorter vectors are filled up with zeros. Of rows that share a query's vec_id the
-    smallest vector asks, and none of them is its candidate. Ties go to the smaller vec_id. Too few rows give shorter lists, an empty
-    table none. Other columns aren't read.
+    wanted: the share of the nearest that a query should find, as tried on the sample; 1 takes every cell, which is exact.
+    There is no bound on a query's cells or candidates but the expectation, at every size of the table. Vectors that are null, zero or hold
+    null or non-finite components and rows with a null vec_id take no part; shorter vectors are filled up with zeros. Of rows that share a
+    query's vec_id the smallest vector asks, and none of them is its candidate. Repeated rows are found each. Ties go to the smaller vec_id. Too few
+    rows give shorter lists, an empty table none. Other columns aren't read.
     """
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -106,25 +163,31 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65
     if not n:
         return spark.createDataFrame([], out)
     half = max(1, dims // 2)
-    size = int(np.clip(2 * n**0.25, 2, 256))
+    size = int(np.clip(4 * n**0.25, 2, 256))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    x = lengthened(matrix(sample, dims), longest)
+    plain = matrix(sample, dims)
+    x = lengthened(plain, longest)
     books = codebook(x[:, :half], size, seed), codebook(x[:, half:], size, seed + 1)
-    enough = max(least, int(np.ceil(share * n)))
+
+    def cells_of(long: np.ndarray) -> np.ndarray:
+        return distances(long[:, :half], books[0]).argmin(1) * size + distances(long[:, half:], books[1]).argmin(1)
+
+    own = cells_of(x)
+    residuals = x[:, :half] - books[0][own // size], x[:, half:] - books[1][own % size]
+    tried = Expectation(books, residuals, np.bincount(own, minlength=size * size).reshape(size, size), k)
+    enough = enough_for(tried, x, own, lengthened(plain[:TRIALS], longest, query=True), half, wanted) if wanted < 1 else np.inf
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), dims)
-            long = lengthened(x, longest)
-            cell = distances(long[:, :half], books[0]).argmin(1) * size + distances(long[:, half:], books[1]).argmin(1)
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int64)), "vec_id": b.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(cells_of(lengthened(x, longest)).astype(np.int64)), "vec_id": b.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     index = stage(rows.mapInArrow(assign, "cell long, vec_id long, x binary"), "index")
     counts = np.zeros(size * size, np.int64)
     for r in index.groupBy("cell").count().collect():  # at most 256 * 256 cells
         counts[r.cell] = r["count"]
     first, parts, blocks = _layout(counts)
-    counts = counts.reshape(size, size)
+    expectation = Expectation(books, residuals, counts.reshape(size, size), k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,33 +200,38 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65
             x = matrix(b.column(1), dims)
             long = lengthened(x, longest, query=True)
             d1, d2 = distances(long[:, :half], books[0]), distances(long[:, half:], books[1])
-            got: dict[str, list] = {"block": [], "query_id": [], "x": [], "cells": []}
+            got: dict[str, list] = {"block": [], "query_id": [], "x": [], "last": []}
             for i, q in enumerate(b.column(0).to_pylist()):
-                cells = traverse(d1[i], d2[i], counts, enough).ravel()
-                hit = np.flatnonzero(cells & (counts.ravel() > 0))
-                bits, row = np.packbits(cells).tobytes(), x[i].tobytes()
-                for block in np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in hit])).tolist():
-                    for name, value in zip(got, (block, q, row, bits)):
+                taken, last = traverse(d1[i], d2[i], expectation.cells(long[i, :half], long[i, half:]), enough, expectation.counts, k + 1)
+                hit = np.flatnonzero(taken.ravel() & (counts > 0))
+                touched = np.zeros(blocks, bool)
+                touched[first[hit]] = True
+                for c in hit[parts[hit] > 1]:
+                    touched[first[c] : first[c] + parts[c]] = True
+                for block in np.flatnonzero(touched).tolist():
+                    for name, value in zip(got, (block, q, x[i].tobytes(), last)):
                         got[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(got["block"], pa.int64()), pa.array(got["query_id"], pa.int64()), pa.array(got["x"], pa.binary()), pa.array(got["cells"], pa.binary())], names=list(got))
+            yield pa.RecordBatch.from_arrays([pa.array(got["block"], pa.int64()), pa.array(got["query_id"], pa.int64()), pa.array(got["x"], pa.binary()), pa.array(got["last"], pa.float64())], names=list(got))
 
     def pack(name: str, extra: str):
         def run(t: pa.Table) -> pa.Table:
-            return pa.table({"block": t["block"].slice(0, 1), "ids": [t[name].to_numpy().tobytes()], "x": [b"".join(t["x"].to_pylist())], "cells": [t[extra].to_numpy().tobytes() if extra == "cell" else b"".join(t[extra].to_pylist())]}, pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("cells", pa.binary())]))
+            return pa.table({"block": t["block"].slice(0, 1), "ids": [t[name].to_numpy().tobytes()], "x": [b"".join(t["x"].to_pylist())], "more": [t[extra].to_numpy().tobytes()]}, pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("more", pa.binary())]))
 
         return run
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                qs, qx, qcells, ids, ex, cells = (batch.column(c)[i].as_py() for c in range(6))
-                qs, ids, cells = np.frombuffer(qs, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(cells, np.int64)
+                qs, qx, last, ids, ex, cells = (batch.column(c)[i].as_py() for c in range(6))
+                qs, ids, cells, last = np.frombuffer(qs, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(cells, np.int64), np.frombuffer(last)
                 qx, ex = np.frombuffer(qx).reshape(-1, dims), np.frombuffer(ex).reshape(-1, dims)
-                taken = np.unpackbits(np.frombuffer(qcells, "u1").reshape(len(qs), -1), axis=1).view(bool)
                 query, vec, score = [], [], []
                 for s in range(0, len(qs), 256):
+                    long = lengthened(qx[s : s + 256], longest, query=True)
+                    d1, d2 = distances(long[:, :half], books[0]), distances(long[:, half:], books[1])
+                    taken = d1[:, cells // size] + d2[:, cells % size] <= last[s : s + 256, None] * (1 + 1e-12) + 1e-300
                     near = qx[s : s + 256] @ ex.T
-                    near[~taken[s : s + 256][:, cells] | (qs[s : s + 256][:, None] == ids)] = -np.inf
+                    near[~taken | (qs[s : s + 256][:, None] == ids)] = -np.inf
                     for r, row in enumerate(near):
                         cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                         some = np.flatnonzero((row >= cut - 1e-9 * (1 + abs(cut))) & (row > -np.inf)) if cut > -np.inf else np.flatnonzero(row > -np.inf)
@@ -174,13 +242,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = 0.65
                         score += exact[some_best].tolist()
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    packed = "block long, ids binary, x binary, cells binary"
+    packed = "block long, ids binary, x binary, more binary"
     entries = index.mapInArrow(place, "block long, cell long, vec_id long, x binary").groupBy("block").applyInArrow(pack("vec_id", "cell"), packed)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(1, -(-n // every // QUERIES))
-    asked = asked.mapInArrow(ask, "block long, query_id long, x binary, cells binary").withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-    queries = asked.groupBy("block", "g").applyInArrow(pack("query_id", "cells"), packed)
-    both = queries.toDF("block", "qs", "qx", "qcells").join(entries, "block").repartition(max(24, min(blocks * groups, 10_000)))
-    found = both.select("qs", "qx", "qcells", "ids", "x", "cells").mapInArrow(rank, "query_id long, vec_id long, score double")
+    asked = asked.mapInArrow(ask, "block long, query_id long, x binary, last double").withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+    queries = asked.groupBy("block", "g").applyInArrow(pack("query_id", "last"), packed)
+    both = queries.toDF("block", "qs", "qx", "last").join(entries, "block").repartition(max(24, min(blocks * groups, 10_000)))
+    found = both.select("qs", "qx", "last", "ids", "x", "more").mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

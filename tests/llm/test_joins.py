@@ -263,11 +263,11 @@ def brute_nearest(ids, x, k):
     return out
 
 
-def test_small_search_is_exact(spark):
+def test_search_of_all_cells_is_exact(spark):
     x = vectors(6, 300).astype("f8")
     ids = np.arange(len(x)) * 5
     rows = [(int(i), v.tolist(), 0) for i, v in zip(ids, x)] + [(i, v, 1) for i, v in ODD]
-    got = op7_multi_index.search(spark.createDataFrame(rows, VECTORS).withColumnRenamed("label", "rank")).collect()
+    got = op7_multi_index.search(spark.createDataFrame(rows, VECTORS).withColumnRenamed("label", "rank"), wanted=1.0).collect()
     want = brute_nearest(ids, x.astype("f4").astype("f8"), 20)
     for q, near in want.items():
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
@@ -282,7 +282,7 @@ def test_search_recall_when_cells_are_skipped(spark):
     x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 0.6
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x.astype("f4"))], VECTORS)
-    got = op7_multi_index.search(df, least=100).collect()
+    got = op7_multi_index.search(df).collect()
     want = brute_nearest(np.arange(4000), x.astype("f4").astype("f8"), 20)
     hits = sum(len({r.vec_id for r in got if r.query_id == q} & {v for v, _ in near}) for q, near in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
@@ -291,7 +291,7 @@ def test_search_recall_when_cells_are_skipped(spark):
 def test_search_recall_of_mixed_norms(spark):
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(3000, 32)) * rng.lognormal(0, 0.7, 3000)[:, None] / 32**0.5).astype("f4")
-    got = op7_multi_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), least=100).collect()
+    got = op7_multi_index.search(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)).collect()
     want = brute_nearest(np.arange(3000), x.astype("f8"), 20)
     hits = sum(len({r.vec_id for r in got if r.query_id == q} & {v for v, _ in near}) for q, near in want.items())
     print("recall", hits / sum(map(len, want.values())))
@@ -301,9 +301,34 @@ def test_search_recall_of_mixed_norms(spark):
 def test_traversal_takes_pairs_in_order():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random(9), rng.random(9)
-    taken = op7_multi_index.traverse(d1, d2, np.ones((9, 9), int), 30)
+    ones = np.ones((9, 9), int)
+    taken, last = op7_multi_index.traverse(d1, d2, ones / 81, 30 / 81 - 1e-9, ones, 5)
     sums = d1[:, None] + d2
-    assert taken.sum() == 30 and sums[taken].max() <= sums[~taken].min()
+    assert taken.sum() == 30 and sums[taken].max() == last < sums[~taken].min()
+    assert op7_multi_index.traverse(d1, d2, ones / 81, 0.0, ones, 7)[0].sum() == 7 and op7_multi_index.traverse(d1, d2, ones / 81, np.inf, ones, 0)[0].all()
+
+
+def test_expected_cells_hold_the_neighbours():
+    """Over isotropic vectors, the cells that hold so much of what is expected hold about as much of the nearest."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    books = op7_multi_index.codebook(x[:, :8], 12, 1), op7_multi_index.codebook(x[:, 8:], 12, 2)
+    cell = op7_multi_index.distances(x[:, :8], books[0]).argmin(1) * 12 + op7_multi_index.distances(x[:, 8:], books[1]).argmin(1)
+    counts = np.bincount(cell, minlength=144).reshape(12, 12)
+    model = op7_multi_index.Expectation(books, (x[:, :8] - books[0][cell // 12], x[:, 8:] - books[1][cell % 12]), counts, 20)
+    held = 0.0
+    for q in rng.normal(size=(60, 16)):
+        expected = model.cells(q[:8], q[8:]).ravel()
+        assert abs(expected.sum() - 1) < 0.1
+        order = np.argsort(-expected)
+        best = order[: np.searchsorted(np.cumsum(expected[order]), 0.8) + 1]
+        held += np.isin(cell[np.argsort(-(x @ q))[:20]], best).mean() / 60
+    assert 0.7 < held < 0.95
+
+
+def test_tail_of_the_normal_distribution():
+    z = np.array([-2.0, -1.0, 0.0, 1.0, 2.0, 3.0])
+    assert np.allclose(op7_multi_index.above(z), [0.97725, 0.84134, 0.5, 0.15866, 0.02275, 0.00135], rtol=0.05)
 
 
 @pytest.mark.parametrize("block, columns", [(5, 16), (256, 4096)])
