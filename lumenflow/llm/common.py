@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.sources.staging import discard, new_path, remove, shared_root, stage
 
-__all__ = ["components", "discard", "finite_vector", "forest", "is_empty", "new_path", "remove", "shared_root", "stage", "worker_cache"]
+__all__ = ["components", "discard", "finite_vector", "forest", "hash_filter", "in_filter", "is_empty", "new_path", "remove", "shared_root", "stage", "worker_cache"]
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
@@ -69,6 +69,26 @@ def forest(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         lab = new
 
 
+def hash_filter(hashes: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A Bloom filter of a column of 64-bit hashes, two bits each, in 2 ** bits bits however many there are (8 MB): more hashes let more others through."""
+    places = F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 32)])
+    words = hashes.select(F.explode(places).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w"))
+    found = words.select(F.col("word").cast("long").alias("word"), "w").toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def in_filter(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (signed 64-bit) may be among those that the filter was made of."""
+    h, mask = hashes.view(np.uint64), np.uint64(len(table) * 64 - 1)
+    out = np.ones(len(h), bool)
+    for s in (0, 32):
+        bit = ((h >> np.uint64(s)) & mask).astype(np.int64)
+        out &= (table[bit >> 6] >> (bit & 63)) & 1 == 1
+    return out
+
+
 class Recent(dict):
     """A cache of two generations: the older one goes when the newer holds limit entries, so frequent keys stay. make gives a missing value."""
 

@@ -20,10 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import discard, stage
-
-#: Up to so many hashes of repeated chunks are sent to all executors as an array (16 MB); beyond, a shuffle picks the rows.
-BROADCAST_HASHES = 2_000_000
+from lumenflow.llm.common import discard, hash_filter, in_filter, stage
 
 
 def chunk_bounds(lines: list[bytes], divisor: int = 3, long_line: int = 50, most: int = 64) -> list[tuple[int, int]]:
@@ -62,7 +59,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, divisor: int, long_line: int, wanted=None) -> DataFrame:
-    """doc_id, th, no, h1, h2 of each chunk that may be removed; with wanted (a broadcast array of h1), text too."""
+    """doc_id, th, no, h1, h2 of each chunk that may be removed; with wanted (a broadcast filter of h1), those that it lets through and their bytes."""
     names = ["doc_id", "th", "no", "h1", "h2"] + ["chunk"] * (wanted is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +71,8 @@ def _chunks(docs: DataFrame, divisor: int, long_line: int, wanted=None) -> DataF
                     if (chunk := _passage(lines, lo, hi, long_line)) is not None:
                         d = xxhash.xxh3_128_digest(chunk)
                         out.append((doc_id, th, no, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), chunk))
-            if wanted is not None and len(wanted.value) and out:
-                keep = np.isin(np.array([x[3] for x in out], np.int64), wanted.value)
+            if wanted is not None and out:
+                keep = in_filter(wanted.value, np.array([x[3] for x in out], np.int64))
                 out = [x for x, k in zip(out, keep) if k]
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "no" else pa.binary() if n == "chunk" else pa.int64()) for n, c in zip(names, cols)], names=names)
@@ -95,12 +92,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataF
     hashes = stage(_chunks(docs, divisor, long_line), "chunks")
     place = F.struct("doc_id", "th", "no")
     repeated = stage(hashes.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("h1", "h2", "first"), "repeated")
-    if repeated.count() <= BROADCAST_HASHES:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array(repeated.select("h1").toPandas()["h1"], np.int64)))
-        if not len(wanted.value):
-            wanted = spark.sparkContext.broadcast(np.zeros(1, np.int64))
-    else:
-        wanted = spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    wanted = spark.sparkContext.broadcast(hash_filter(repeated, "h1"))
     texts = stage(_chunks(docs, divisor, long_line, wanted).join(repeated, ["h1", "h2"]), "passages")
     discard(hashes)
     first = texts.withColumn("is_first", F.col("first").eqNullSafe(place))
@@ -147,12 +139,11 @@ def windows(lines: list[bytes], long_line: int = 50) -> Iterator[tuple[int, int]
 
 
 def _windows(docs: DataFrame, long_line: int, wanted=None) -> DataFrame:
-    """doc_id, th, lo, hi, h1, h2 of each window; with wanted (a broadcast sorted array of h1, all if empty), its bytes too."""
+    """doc_id, th, lo, hi, h1, h2 of each window; with wanted (a broadcast filter of h1), those that it lets through and their bytes."""
     names = ["doc_id", "th", "lo", "hi", "h1", "h2"] + ["bytes"] * (wanted is not None)
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = wanted.value if wanted is not None else ()
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part, out = batch.slice(at, 1_000), []
@@ -163,9 +154,8 @@ def _windows(docs: DataFrame, long_line: int, wanted=None) -> DataFrame:
                         d = xxhash.xxh3_128_digest(data)
                         row = doc_id, th, lo, hi, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
                         out.append(row if wanted is None else (*row, data))
-                if len(few) and out:
-                    h1 = np.array([x[4] for x in out], np.int64)
-                    keep = few[np.minimum(np.searchsorted(few, h1), len(few) - 1)] == h1
+                if wanted is not None and out:
+                    keep = in_filter(wanted.value, np.array([x[4] for x in out], np.int64))
                     out = [x for x, k in zip(out, keep) if k]
                 cols = list(zip(*out)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -173,7 +163,7 @@ def _windows(docs: DataFrame, long_line: int, wanted=None) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, th long, lo int, hi int, h1 long, h2 long" + ", bytes binary" * (wanted is not None))
 
 
-def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataFrame:
+def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50, own_columns: bool = False) -> DataFrame:
     """docs with text less its repeated passages, and n_chunks (content-defined chunks of the text that came), n_removed
     (runs of lines), n_removed_lines.
 
@@ -181,19 +171,17 @@ def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataFr
     comes first. What is earlier is judged on the texts as they came; of equal lines one always stays. Rows equal in doc_id and
     text are one document: what goes from one goes from the others. A null text stays null and has no chunks, an empty one
     has one that stays. Blank lines beside a passage stay. A text may lose all its lines and is then empty; its row stays.
-    All other columns are passed on, except those whose names clash with the three new ones, which win.
+    All other columns are passed on, except those whose names clash with the three new ones, which win; with own_columns,
+    docs' columns alone, whatever they are called. Texts of any length are read whole. An empty table
+    gives none. Chunks (n_chunks) end after 64 lines where no hash ends them; this has no part in what goes.
     """
     spark = docs.sparkSession
     hashes = stage(_windows(docs, long_line), "windows")
     place = F.struct("doc_id", "th", "lo")
     repeated = stage(hashes.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").select("h1", "h2", "first"), "repeated")
     discard(hashes)
-    n = repeated.count()
-    if n:
-        wanted = np.unique(repeated.select("h1").toArrow().column(0).to_numpy()) if n <= BROADCAST_HASHES else np.zeros(0, np.int64)
-        texts = stage(_windows(docs, long_line, spark.sparkContext.broadcast(wanted)).join(repeated, ["h1", "h2"]), "passages")
-    else:
-        texts = repeated.selectExpr("h1", "h2", "0L doc_id", "0L th", "0 lo", "0 hi", "binary('') bytes", "first")
+    wanted = spark.sparkContext.broadcast(hash_filter(repeated, "h1"))
+    texts = stage(_windows(docs, long_line, wanted).join(repeated, ["h1", "h2"]), "passages")
     kept = texts.where(F.col("first").eqNullSafe(place)).select("h1", "h2", F.col("bytes").alias("kept")).dropDuplicates(["h1", "h2"])
     overlaps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("lo") < F.col("first.lo") + F.col("hi") - F.col("lo"))
     drop = texts.where(~overlaps).join(kept, ["h1", "h2"]).where(F.col("bytes") == F.col("kept"))
@@ -221,10 +209,10 @@ def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50) -> DataFr
 
     new = ["n_chunks", "n_removed", "n_removed_lines"]
     text = F.col("text").cast("string")
-    rows = docs.drop(*new).withColumn("__th", F.xxhash64(text))
+    rows = docs.withColumn("__th", F.xxhash64(text))
     g = drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("gone").alias("__gone"))
     # Merged at every size: what is broadcast would grow with the documents that lose lines.
     rows = rows.join(g.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
     rows = rows.withColumn("__cut", cut(text, F.col("__gone")))
-    others = [c for c in docs.columns if c not in new]
-    return rows.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others], *[F.col(f"__cut.{c}") for c in new])
+    others = [c for c in docs.columns if own_columns or c not in new]
+    return rows.select(*[F.col("__cut.text").alias("text") if c == "text" else F.col(c) for c in others], *([] if own_columns else [F.col(f"__cut.{c}") for c in new]))

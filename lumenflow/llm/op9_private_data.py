@@ -50,18 +50,35 @@ def _matches(kind: str, pattern: str, guard: str) -> Column:
     return F.expr(f"if(text rlike '{q}', filter({parts}, m -> m is not null), cast(array() as array<struct<g:int,f:int,ok:boolean>>))")
 
 
+#: Matches whose places are counted up together; so that a text of n matches copies about n * RUN / 2 of them, not n * n / 2.
+RUN = 64
+
+
+def _placed(column: str, fields: str, kind: str) -> str:
+    """SQL: the structs (g: length before it, f: its length, others) of an array as structs of s and e, their places, and fields (of x) of type kind.
+
+    Lengths add up run by run, then within each run.
+    """
+    empty = f"cast(array() as array<struct<{kind}s:int,e:int>>)"
+    runs = f"transform(sequence(0, (size({column}) - 1) div {RUN}), b -> slice({column}, b * {RUN} + 1, {RUN}))"
+    starts = f"aggregate(transform({runs}, r -> aggregate(r, 0, (a, x) -> a + x.g + x.f)), named_struct('pos', 0, 'out', cast(array() as array<int>)), (a, n) -> named_struct('pos', a.pos + n, 'out', concat(a.out, array(a.pos))), a -> a.out)"
+    one = f"named_struct({fields}'s', a.pos + x.g, 'e', a.pos + x.g + x.f)"
+    within = f"aggregate(r, named_struct('pos', p, 'out', {empty}), (a, x) -> named_struct('pos', a.pos + x.g + x.f, 'out', if(x.ok, concat(a.out, array({one})), a.out)), a -> a.out)"
+    return f"if(coalesce(size({column}), 0) <= 0, {empty}, flatten(zip_with({runs}, {starts}, (r, p) -> {within})))"
+
+
 def _places(matches: str) -> Column:
     """array<struct<s, e>> of the matches that count, as code points."""
-    return F.expr(f"""aggregate({matches}, named_struct('pos', 0, 'out', cast(array() as array<struct<s:int,e:int>>)),
-        (a, x) -> named_struct('pos', a.pos + x.g + x.f, 'out', if(x.ok, concat(a.out, array(named_struct('s', a.pos + x.g, 'e', a.pos + x.g + x.f))), a.out)), a -> a.out)""")
+    return F.expr(_placed(matches, "", ""))
 
 
 def _words() -> Column:
     """array<struct<v: word, l: left word, r: right word, g, f, ok>> of words that hold a digit or @, so of every base span."""
     w = WORD.replace("\\", "\\\\")
     tidy = lambda s: f"translate({s}, '\\n\\t\\r', '   ')"
-    left = f"if(trim({tidy('m.g')}) = '', if(i = 0, '^', '#'), lower(right(substring_index(rtrim({tidy('m.g')}), ' ', -1), 40)))"
-    right = f"if(trim({tidy('m.n')}) = '', '$', lower(left(substring_index(ltrim({tidy('m.n')}), ' ', 1), 40)))"
+    short = lambda w: f"if(length({w}) > 40, sha2({w}, 256), {w})"
+    last, first = f"lower(substring_index(rtrim({tidy('m.g')}), ' ', -1))", f"lower(substring_index(ltrim({tidy('m.n')}), ' ', 1))"
+    left, right = f"if(trim({tidy('m.g')}) = '', if(i = 0, '^', '#'), {short(last)})", f"if(trim({tidy('m.n')}) = '', '$', {short(first)})"
     gaps, found = f"split(text, '{w}', -1)", f"regexp_extract_all(text, '{w}', 0)"
     joined = f"zip_with(zip_with({gaps}, {found}, (g, f) -> named_struct('g', g, 'f', f)), slice({gaps}, 2, size({gaps})), (m, n) -> named_struct('g', m.g, 'f', m.f, 'n', n))"
     return F.expr(f"""if(text rlike '[0-9@]', transform(filter({joined}, m -> m.f is not null),
@@ -72,15 +89,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
     """rid, doc_id, an array of places for each base kind, and words: the candidates with their contexts and places."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.select("doc_id", *[_matches(k, *PATTERNS[k]).alias(k) for k in KINDS], _words().alias("words"))
-    return found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[_places(k).alias(k) for k in KINDS], "words")
+    found = stage(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *KINDS, "words"), "matches")  # or each use of them would match again
+    return found.select("rid", "doc_id", *[_places(k).alias(k) for k in KINDS], "words")
 
 
 def _candidates(base: DataFrame) -> DataFrame:
     """rid, v, l, r, s, e, seed for each word that holds a digit or @."""
     known = F.concat(*KINDS)
-    with_places = base.where("size(words) > 0").select("rid", known.alias("known"), F.expr("""
-        aggregate(words, named_struct('pos', 0, 'out', cast(array() as array<struct<v:string,l:string,r:string,s:int,e:int>>)),
-            (a, x) -> named_struct('pos', a.pos + x.g + x.f, 'out', concat(a.out, array(named_struct('v', x.v, 'l', x.l, 'r', x.r, 's', a.pos + x.g, 'e', a.pos + x.g + x.f)))), a -> a.out)""").alias("w"))
+    places = _placed("words", "'v', x.v, 'l', x.l, 'r', x.r, ", "v:string,l:string,r:string,")
+    with_places = base.where("size(words) > 0").select("rid", known.alias("known"), F.expr(places).alias("w"))
     one = with_places.select("rid", "known", F.inline("w"))
     return one.select("rid", "v", "l", "r", "s", "e", F.expr("exists(known, k -> k.s < e and k.e > s)").alias("seed"))
 
@@ -122,7 +139,7 @@ def find_private_data(docs: DataFrame, rounds: int = 3, sure: float = 0.6, suppo
 
     Places are code points of the text, end exclusive; spans are kind:start:end by start, then kind (email, ip, card, phone,
     id), joined by commas. A null or empty text has none. Repeated rows stay and agree; a null doc_id is passed on; other columns
-    aren't read. An empty table gives none.
+    aren't read. An empty table gives none. Texts of any length are searched whole; ties of start go by kind, those of score don't matter.
     """
     base = stage(base_spans(docs), "base")
     candidates = stage(_candidates(base), "instances")
