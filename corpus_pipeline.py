@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the passages that an earlier one has; n_chars is that of the text that is left."""
-    return op4_line_chunks.dedup_runs(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return op4_line_chunks.dedup_runs(docs, own_columns=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
