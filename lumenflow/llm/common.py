@@ -98,8 +98,9 @@ class Recent(dict):
 
     def __missing__(self, key):
         value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def keep(self, key, value):
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 self.older = self.copy()

@@ -31,30 +31,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-#: Words and pre-tokens that a generation of a worker's cache holds: about 100 MB in all.
-WORDS, PRETOKENS, OTHERS = 150_000, 100_000, 30_000
+#: Words, and other pieces, that a generation of a worker's cache holds: about 150 MB in all.
+WORDS, OTHERS = 450_000, 50_000
 
 
 class PieceCache(Recent):
-    """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); literals of added tokens get these tokens' ids, as in the library."""
+    """Word of a plain text -> ids as little-endian bytes (byte level: as it follows a space); literals of added tokens get these tokens' ids, as in the library.
+
+    A pre-token that could be a word is kept as that word, so words with punctuation beside them find it.
+    """
 
     def __init__(self, path: str, words: int = WORDS):
         super().__init__(self._word, words)
         self.tok = Tokenizer.from_file(path)
         literals = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, literals)), re.IGNORECASE) if literals else None
-        self.lower, letters, model = self.tok.normalizer is not None, _byte_letters(), self.tok.model
+        self.lower, self.letters, self.model = self.tok.normalizer is not None, _byte_letters(), self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        self.pretokens = Recent(lambda p: array(code, [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes(), PRETOKENS, 100)
-        self.other = Recent(self._whole, OTHERS, 100)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.inner, self.other = Recent(self._ids, OTHERS, 100), Recent(self._whole, OTHERS, 100)
 
-    def _word(self, word: str) -> bytes:
-        return self._plain(word if self.lower else " " + word)
+    def _ids(self, pretoken: str) -> bytes:
+        mapped = pretoken.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _pretoken(self, p: str) -> bytes:
+        if not self.lower and (p[0] != " " or len(p) == 1):
+            return self.inner[p]
+        key = p if self.lower else p[1:]
+        found = self.get(key) or self.older.get(key)
+        return self.keep(key, self._ids(p)) if found is None else found
 
     def _plain(self, text: str) -> bytes:
         found = _PLAIN_WORD.findall(text.lower()) if self.lower else _PLAIN_BYTE.findall(text)
-        return b"".join(map(self.pretokens.__getitem__, found))
+        return b"".join(map(self._pretoken, found))
+
+    def _word(self, word: str) -> bytes:
+        return self._plain(word if self.lower else " " + word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -20,6 +22,19 @@ def test_cached_pieces_encode_like_the_library(path):
     assert cache.encode(None) == b""
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_many_texts_encode_like_the_library(path):
+    """Odd words, and the tables' own texts, by caches that hold few or all of them."""
+    rng, tok = random.Random(2), Tokenizer.from_file(path)
+    letters = "aZé'sdtllm.,;-_0123 ÿÀß\n$%(x)\"" + "e" * 9
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(1500)]
+    texts += [r.text for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pandas().itertuples()] + TEXTS + [None, "a <|endoftext|> b", "x" * 70 + " y"]
+    for words in (40, 100_000):
+        cache = PieceCache(path, words=words)
+        got = [np.frombuffer(x, cache.dtype).tolist() for x in map(cache.encode, texts)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_operators_encode_added_tokens_like_the_library(path):
     cache, tok = cache_for(path), Tokenizer.from_file(path)
