@@ -246,6 +246,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, wanted: float = 0.9
     entries = index.mapInArrow(place, "block long, cell long, vec_id long, x binary").groupBy("block").applyInArrow(pack("vec_id", "cell"), packed)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(1, -(-n // every // QUERIES))
+    asked = asked.repartition(min(10_000, max(24, 4 * groups)))  # a query's way through the cells costs far more than its bytes tell
     asked = asked.mapInArrow(ask, "block long, query_id long, x binary, last double").withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     queries = asked.groupBy("block", "g").applyInArrow(pack("query_id", "last"), packed)
     both = queries.toDF("block", "qs", "qx", "last").join(entries, "block").repartition(max(24, min(blocks * groups, 10_000)))
