@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_budget_mix": op2_mixing.ORACLE, "op10_url_verdicts": op10_url_filter.ORACLE}
+    return {"op2_budget_mix": op2_mixing.ORACLE, "op5_grid_order_join": op5_grid_order.ORACLE, "op8_shingle_join_classes": op8_shingle_join.ORACLE, "op10_url_verdicts": op10_url_filter.ORACLE}
