@@ -204,3 +204,98 @@ def test_scores_do_not_depend_on_neighbours():
     texts = [op3_toxicity.word_rows(t) for t in ("a b c", "", "scum", "x " * 500)]
     together = model.scores(texts)
     assert np.allclose(together, [model.scores([t])[0] for t in texts])
+
+
+def small_cnn(seed=3):
+    model = op3_toxicity.TextCnn(dims=3, filters=4, seed=seed)
+    rng = np.random.default_rng(seed)
+    model.bias, model.shift = rng.normal(0, 0.2, len(model.bias)).astype("f4"), np.float32(0.1)
+    return model, [rng.integers(1, 40, n).astype(np.int32) for n in (0, 1, 2, 9, 30)]
+
+
+def plain_scores(model, texts):
+    """Every filter at every place of every text, word by word; a text is followed by empty places."""
+    out = []
+    for t in texts:
+        rows = [model.table[r].astype("f8") for r in t] + [np.zeros(model.dims)] * max(model.widths)
+        z = float(model.shift)
+        for w, kernel in enumerate(model.kernel):
+            for f in range(model.filters):
+                best = max(sum(float(rows[i + j] @ kernel[j][:, f]) for j in range(len(kernel))) for i in range(max(1, len(t))))
+                z += max(best + float(model.bias[w * model.filters + f]), 0.0) * float(model.out[w * model.filters + f])
+        out.append(1 / (1 + np.exp(-z)))
+    return np.array(out)
+
+
+def test_pooled_scores_equal_a_plain_convolution():
+    model, texts = small_cnn()
+    assert np.allclose(model.scores(texts), plain_scores(model, texts), atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    model, texts = small_cnn()
+    y = np.array([0, 1, 1, 0, 1], "f4")
+    grad = model.gradients(texts, y)
+
+    def loss():
+        p = plain_scores(model, texts)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    rng = np.random.default_rng(0)
+    for name, value in {"table": model.table, "bias": model.bias, "out": model.out, **{f"k{w}": k for w, k in enumerate(model.kernel)}}.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            at = (int(rng.choice(texts[3])), *at[1:]) if name == "table" else at
+            before, sides = value[at], []
+            for step in (1e-3, -1e-3):
+                value[at] = before + step
+                sides.append(loss())
+            value[at] = before
+            assert abs((sides[0] - sides[1]) / 2e-3 - grad[name][at]) < 2e-3, (name, at)
+
+
+def test_clashing_columns_pass_the_filter(spark):
+    model, _ = small_cnn()
+    docs = spark.createDataFrame([(1, "a b", "en", "mine", 3), (2, None, None, None, None)], "doc_id long, text string, lang string, score string, threshold int")
+    model.threshold = 2.0
+    assert op3_toxicity.accepted(docs, model).collect() == docs.collect()
+
+
+def plain_discovery(candidates, rounds=3, sure=0.6, support=3):
+    edges, seeds, score = {}, set(), {}
+    for c in candidates:
+        for p in ("L:" + c.l, "R:" + c.r):
+            edges.setdefault(p, set()).add(c.v)
+        if c.seed:
+            seeds.add(c.v)
+    words = {c.v for c in candidates}
+    score = {v: float(v in seeds) for v in words}
+    total = lambda vs: sum(score[v] for v in vs)
+    for _ in range(rounds):
+        good = {p: total(vs) / (len(vs) + 2.0) for p, vs in edges.items() if len(vs) >= support}
+        good = {p: x for p, x in good.items() if x > 0.05}
+        new = {v: 1 - np.prod([1 - min(good[p], 0.999) for p, vs in edges.items() if v in vs and p in good]) for v in words}
+        score = {v: 1.0 if v in seeds else new[v] if new[v] >= sure / 2 else 0.0 for v in words}
+    found = {(v, None, None) for v in words if v not in seeds and score[v] >= sure}
+    for c in candidates:
+        if not c.seed and c.v in seeds:
+            ps = [(total(edges[p]) - 1) / (len(edges[p]) - 1 + 2.0) for p in ("L:" + c.l, "R:" + c.r) if len(edges[p]) > support]
+            if 1 - np.prod([1 - min(x, 0.999) for x in ps if x > 0.05]) >= sure:
+                found.add((c.v, c.l, c.r))
+    return found
+
+
+def test_discovery_equals_plain_rounds(spark, docs_of):
+    rng = random.Random(4)
+    cues = ["mail", "id", "ref", "year", "call", "x" * 45 + "1", "x" * 45 + "2"]
+    value = lambda: rng.choice([f"u{rng.randrange(30)}@m.org", f"Z-{rng.randrange(30)}", f"+1 (212) 555-01{rng.randrange(10, 99)}", str(1990 + rng.randrange(20)), "4111111111111111"])
+    docs = docs_of([(i, " ".join(f"{rng.choice(cues)} {value()} {rng.choice(['now', 'end.', 'z'])}" for _ in range(rng.randrange(1, 6)))) for i in range(150)])
+    candidates = op9_private_data._candidates(op9_private_data.base_spans(docs)).cache()
+    got = {(r.v, r.l, r.r) for r in op9_private_data.discover(candidates).collect()}
+    assert got == plain_discovery(candidates.collect()) and any(x[1] is None for x in got) and any(x[1] is not None for x in got)
+
+
+def test_many_numbers_in_one_text(spark, docs_of):
+    text = " ".join(f"n {i}.5" for i in range(5_000))
+    words = op9_private_data._candidates(op9_private_data.base_spans(docs_of([(1, text)]))).orderBy("s").collect()
+    assert len(words) == 5_000 and all(text[w.s : w.e] == f"{i}.5" for i, w in enumerate(words))
