@@ -70,7 +70,7 @@ def run_all(a: argparse.Namespace) -> None:
 
 
 def publish(a: argparse.Namespace) -> None:
-    kafka.publish(avro_ocf.read_events(get_session("publish"), a.source), a.servers, a.topic, a.limit)
+    print(kafka.publish(avro_ocf.read_events(get_session("publish"), a.source), a.servers, a.topic, a.limit))
 
 
 def schemas(a: argparse.Namespace) -> None:

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lumenflow.operators.bronze import to_kafka
+from lumenflow.operators.checks import validated
+from lumenflow.schemas import EVENT
 
 PARTITIONS, REPLICATION = 3, 1
 
 
-def publish(events: DataFrame, servers: str, topic: str, limit: int | None = None) -> None:
-    """Write events to a topic, keyed by user_id; limit publishes that many of them."""
+def publish(events: DataFrame, servers: str, topic: str, limit: int | None = None) -> int:
+    """Write events to a topic, keyed by user_id, and return how many; limit publishes that many of them.
+
+    Events are validated first: a missing or additional column, another type or a null in a required field fails.
+    """
     if limit is not None:
         if limit < 0:
             raise ValueError("limit must not be negative")
         events = events.limit(limit)
-    to_kafka(events, topic).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+    sent = Observation()
+    rows = to_kafka(validated(events, EVENT), topic).observe(sent, F.count(F.lit(1)).alias("n"))
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+    return sent.get["n"]
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:

@@ -12,6 +12,7 @@ from lumenflow.schemas import EVENT
 
 # The stream's domains.
 DEVICES = PLATFORMS = ("smart_tv", "web", "mobile_app")
+POSITIONS = {"pause": (30, 3_600), "skip": (1, 30)}
 
 
 @dataclass(frozen=True)
@@ -95,3 +96,24 @@ def events(spark: SparkSession, s: StreamShape) -> DataFrame:
     made = made.withColumn("created_ts", late_timestamp(F.col("event_timestamp"), s.seed + 30, s.late_rate, *s.late_hours, "event_id")).select(*EVENT.names)
     again = made.where(uniform(s.seed + 40, "event_id") < s.duplicate_rate).withColumn("created_ts", F.col("created_ts") + 1)
     return made.unionByName(again)
+
+
+def standalone(spark: SparkSession, s: StreamShape, kind: str, n: int) -> DataFrame:
+    """n events of one kind outside of chains, at times over the minutes; a pause or skip has a position of its kind's default range."""
+    if n < 0:
+        raise ValueError("n must not be negative")
+    at = F.lit(s.start_ms) + uniform_int(s.seed + 50, 0, max(0, s.minutes * 60_000 - 1), "id")
+    user = uniform_int(s.seed + 51, 1, max(1, s.users), "id")
+    video = uniform_int(s.seed + 52, 1, max(1, s.videos), "id")
+    position = uniform_int(s.seed + 53, *POSITIONS[kind], "id") if kind in POSITIONS else F.lit(0) if kind == "playback_start" else F.lit(None)
+    bare, ad = kind == "subscription_cancel", kind in ("ad_impression", "ad_click")
+    none = F.lit(None).cast("string")
+    cells = {
+        "event_id": F.format_string(f"{kind}_%012d", F.col("id") + 1), "event_type": F.lit(kind), "event_timestamp": at, "user_id": F.format_string("user_%08d", user), "session_id": F.format_string("session_%010d", user),
+        "device_type": choice(uniform(s.seed + 2, user), DEVICES), "platform": choice(uniform(s.seed + 3, user), PLATFORMS), "video_id": none if bare else F.format_string("video_%08d", video), "genre_id": none if bare else F.format_string("genre_%04d", video % 10 + 1),
+        "playback_position_seconds": position, "ad_campaign_id": F.format_string("campaign_%06d", uniform_int(s.seed + 54, 1, 999, "id")) if ad else none,
+    }
+    tracked = (at >= s.change_ms) if kind == "ad_impression" else F.lit(False)
+    mid = bernoulli(s.seed + 55, 0.72, "id")
+    cells |= {"midpoint": F.when(tracked, mid), "third_quartile": F.when(tracked, mid & bernoulli(s.seed + 56, 0.68, "id")), "created_ts": late_timestamp(at, s.seed + 57, s.late_rate, *s.late_hours, "id")}
+    return spark.range(n).select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in EVENT])

@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenflow import cli
-from lumenflow.operators import bronze
+from lumenflow.operators import bronze, checks
 from lumenflow.platform import Platform
 from lumenflow.quality import QualityReport
-from lumenflow.schemas import KAFKA, TABLES
+from lumenflow.schemas import EVENT, KAFKA, TABLES
 from lumenflow.streaming import pipelines
-from lumenflow.synth import offline
+from lumenflow.synth import offline, stream
 
 NOW = dt.datetime(2026, 1, 31, 18, 10, tzinfo=dt.UTC)
 
@@ -79,3 +79,27 @@ def test_event_without_user_has_no_key(spark):
     assert bronze.to_kafka(events.where("user_id is not null"), "t").count() == 1
     with pytest.raises(Exception, match="without user_id"):
         bronze.to_kafka(events, "t").collect()
+
+
+def test_standalone_events_have_their_default_positions(spark):
+    shape = stream.StreamShape(start_ms=1_767_225_600_000, users=9, videos=4)
+    for kind, (low, high) in stream.POSITIONS.items():
+        got = stream.standalone(spark, shape, kind, 2_000)
+        checks.validated(got, EVENT).write.format("noop").mode("overwrite").save()
+        lowest, highest = got.agg(F.min("playback_position_seconds"), F.max("playback_position_seconds")).first()
+        assert low <= lowest <= low + (high - low) * 0.05 and high - (high - low) * 0.05 <= highest <= high
+    assert stream.standalone(spark, shape, "subscription_cancel", 5).where("video_id is null").count() == 5
+    assert stream.standalone(spark, shape, "ad_impression", 50).where("midpoint is null or ad_campaign_id is null").count() == 0
+    with pytest.raises(ValueError):
+        stream.standalone(spark, shape, "skip", -1)
+
+
+def test_refresh_replaces_the_snapshot(spark, tmp_path):
+    shape = stream.StreamShape(start_ms=1_767_225_600_000, minutes=3, chains_per_minute=5, users=4, videos=3, late_rate=0.0)
+    events = stream.events(spark, shape)
+    events.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        pipelines.refresh_features(live, str(tmp_path / "out"), str(tmp_path / "c"), once=True, burst=2).awaitTermination()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(pipelines.rolling_features(spark.read.parquet(str(tmp_path / "in")), burst=2))
