@@ -186,14 +186,15 @@ def dedup_runs(docs: DataFrame, divisor: int = 3, long_line: int = 50, own_colum
     forms = texts.groupBy("h1", "h2", "bytes").agg(F.count("*").alias("c")).groupBy("h1", "h2").agg(F.count("*").alias("forms"))
     known = stage(repeated.join(forms, ["h1", "h2"]), "forms")
     alike = texts.drop("bytes").join(known.where("forms = 1"), ["h1", "h2"])
-    # Different bytes of one hash are compared one by one with those of the first place.
-    unlike = texts.join(known.where("forms > 1"), ["h1", "h2"])
+    # Different bytes of one hash are compared one by one with those of the first place. Such hashes are staged, so that Spark sees how few they are.
+    mixed = stage(known.where("forms > 1"), "mixed")
+    unlike = texts.join(mixed, ["h1", "h2"])
     kept = unlike.where(F.col("first").eqNullSafe(place)).select("h1", "h2", F.col("bytes").alias("kept")).dropDuplicates(["h1", "h2"])
     unlike = unlike.join(kept, ["h1", "h2"]).where(F.col("bytes") == F.col("kept")).select(*alike.columns)
     overlaps = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("lo") < F.col("first.lo") + F.col("hi") - F.col("lo"))
     drop = alike.unionByName(unlike).where(~overlaps)
     drops = stage(drop.groupBy("doc_id", "th").agg(F.collect_set(F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("gone")), "drops")
-    discard(texts, repeated, known)
+    discard(texts, repeated, known, mixed)
 
     @F.pandas_udf("text string, n_chunks int, n_removed int, n_removed_lines int")
     def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenflow.llm import common, op4_line_chunks, op5_grid_order, op7_multi_index, op8_shingle_join
+from lumenflow.llm import common, op4_line_chunks, op5_grid_order, op7_multi_index, op8_shingle_join, queries
 
 
 def find(parent, x):
@@ -359,3 +359,15 @@ def test_families_over_several_blocks(spark, docs_of, monkeypatch, block, column
             mine = [x for x in got if x in members]
             assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
     assert sorted(map(key, (x for x in got if not (x[1] or "").split()))) == sorted(map(key, (x for x in rows if not (x[1] or "").split())))
+
+
+@pytest.mark.parametrize("name, key", [("op5_grid_order_join", "vec_id"), ("op8_shingle_join_classes", "doc_id")])
+def test_queries_equal_their_sql(spark, name, key):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df().sort_values(key)
+    got = queries.queries()[name](spark, sf).toPandas().sort_values(key)
+    assert got[sorted(got)].values.tolist() == want[sorted(want)].values.tolist() and len(got)
