@@ -4,8 +4,8 @@
     spark.read.format("avro_ocf").schema(EVENT).load(path)
     df.write.format("avro_ocf").mode("append").save(path)
 
-Flat records of string, int, long, boolean, float, double and nullable unions of them; null and deflate codecs. A file is a task
-when reading; a task writes files of at most FILE_ROWS rows, under temporary names until the job commits. With the option folder_by each value
+Flat records of string, int, long, boolean, float, double and nullable unions of them; null and deflate codecs. A task reads
+files of TASK_BYTES together, or one that is larger; it writes files of at most FILE_ROWS rows, under temporary names until the job commits. With the option folder_by each value
 of that column has a folder of its own, column=value, and mode overwrite replaces the files of those folders that get rows. Paths are local or of any store that pyarrow opens.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from lumenflow.operators.checks import validated
 from lumenflow.schemas import EVENT, avro_record
 
-MAGIC, BLOCK_ROWS, FILE_ROWS = b"Obj\x01", 4_000, 200_000
+MAGIC, BLOCK_ROWS, FILE_ROWS, TASK_BYTES = b"Obj\x01", 4_000, 200_000, 1 << 22
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -174,9 +174,9 @@ def decode(data: bytes) -> Iterator[dict]:
             raise ValueError("a block doesn't end with the file's sync marker")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -188,16 +188,23 @@ class _Reader(DataSourceReader):
         info = fs.get_file_info(path)
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        files = [info.path] if info.type == pafs.FileType.File else sorted(i.path for i in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if i.path.endswith(".avro"))
-        return [_File(p) for p in files] or [_File("")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        with _fs(self.path)[0].open_input_stream(partition.path) as f:
-            data = f.read()
-        for row in decode(data):
-            yield tuple(row.get(n) for n in self.names)
+        files = [info] if info.type == pafs.FileType.File else sorted((i for i in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if i.path.endswith(".avro")), key=lambda i: i.path)
+        out, held = [_Files([])], 0
+        for i in files:
+            if held and held + i.size > TASK_BYTES:
+                out.append(_Files([]))
+                held = 0
+            out[-1].paths.append(i.path)
+            held += i.size
+        return out
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        fs = _fs(self.path)[0]
+        for path in partition.paths:
+            with fs.open_input_stream(path) as f:
+                data = f.read()
+            for row in decode(data):
+                yield tuple(row.get(n) for n in self.names)
 
 
 class _Done(WriterCommitMessage):
